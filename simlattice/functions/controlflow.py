@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..config import LanguageProfile
 from .text import strip_noise
+from .util import let
 
 ND = "struct<n:string,d:int>"
 ND_ARRAY = f"array<{ND}>"
@@ -164,7 +165,8 @@ def _brace_tokens(code: Column) -> Column:
     marked = F.regexp_replace(cleaned, BRACE_FOR_IN, "forin$1")
     marked = F.regexp_replace(marked, BRACE_DECL, "$1 DECL ($2){")
     toks = F.regexp_extract_all(marked, F.lit(BRACE_TOKENS), 0)
-    return F.transform(toks, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(toks, i + 1), F.lit("")).alias("nx")))
+    return let(toks, lambda ts: F.transform(
+        ts, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(ts, i + 1), F.lit("")).alias("nx"))))
 
 
 def brace_structure(code: Column, profile: LanguageProfile) -> Column:
@@ -223,7 +225,7 @@ def brace_structure(code: Column, profile: LanguageProfile) -> Column:
         d = depth(stk)
         sc = scope(stk)
         ctrl_out = F.when(pat.isNotNull(), F.concat(out, F.array(_nd(pat, d)))).otherwise(out)
-        elif_out = F.concat(out, F.array(_nd(elif_pattern, d))) if True else out
+        elif_out = F.concat(out, F.array(_nd(elif_pattern, d)))
         return (
             F.when(t == "(", st(F.concat(stk, F.lit("("))))
              .when(is_call, st(F.concat(stk, F.lit("(")), f=F.when(real_call, add_feat(call_node, sc + 1)).otherwise(feats)))

@@ -17,6 +17,7 @@ from ..functions import controlflow as cf
 from ..functions.fingerprint import fingerprint_hex, hash_word
 from ..functions.shingles import adaptive_shingles, pattern_set
 from ..functions.text import strip_noise
+from ..functions.util import let
 from .nodes import TAG_NAME_RE, TAG_RE, WORD_RE
 
 # Whitespace per Unicode (what str.strip removes), valid in Java and RE2.
@@ -70,12 +71,6 @@ def _profile_structure(code: Column, profile: LanguageProfile) -> Column:
     return cf.code_structure(code, profile)
 
 
-def let(expr: Column, fn) -> Column:
-    """Bind ``expr`` once and build a value from it (evaluates ``expr`` a single time
-    even when the optimizer later inlines the result into several consumers)."""
-    return F.get(F.transform(F.array(expr), fn), 0)
-
-
 ND_PAIR = "struct<patterns:array<struct<n:string,d:int>>,features:array<struct<n:string,d:int>>>"
 
 
