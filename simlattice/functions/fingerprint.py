@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
+from .util import let
 
 
 def _col(c) -> Column:
@@ -21,13 +22,16 @@ def _col(c) -> Column:
 def fingerprint_hex(shingle_array, cfg: DetectorConfig = DetectorConfig()) -> Column:
     """Hex fingerprint of a shingle list; no shingles give all zero bits."""
     sh = _col(shingle_array)
-    joined = F.array_join(sh, "")
     nbytes = cfg.hash_bytes
-    per_byte = F.transform(
-        F.sequence(F.lit(0), F.lit(nbytes - 1)),
-        lambda i: F.substring(F.sha2(F.concat(F.lit("salt"), i.cast("string"), joined), 256), 1, 2))
+
+    def salted(joined: Column) -> Column:
+        per_byte = F.transform(
+            F.sequence(F.lit(0), F.lit(nbytes - 1)),
+            lambda i: F.substring(F.sha2(F.concat(F.lit("salt"), i.cast("string"), joined), 256), 1, 2))
+        return F.array_join(per_byte, "")
+
     zeros = F.lit("00" * nbytes)
-    return F.when(F.size(sh) == 0, zeros).otherwise(F.array_join(per_byte, ""))
+    return F.when(F.size(sh) == 0, zeros).otherwise(let(F.array_join(sh, ""), salted))
 
 
 def hash_word(hex_col, j: int) -> Column:

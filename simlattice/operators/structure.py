@@ -18,6 +18,7 @@ from ..functions.fingerprint import fingerprint_hex, hash_word
 from ..functions.shingles import adaptive_shingles, pattern_set
 from ..functions.text import strip_noise
 from ..functions.util import let
+from ..session import spread
 from .nodes import TAG_NAME_RE, TAG_RE, WORD_RE
 
 # Whitespace per Unicode (what str.strip removes), valid in Java and RE2.
@@ -109,9 +110,10 @@ def structure(items: DataFrame, profiles: Mapping[str, LanguageProfile] = DEFAUL
     first to split them off).
     """
     langs = list(languages) if languages is not None else list(profiles)
-    s = items.select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
+    s = spread(items).select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
                      _structure_expr(F.col(code_col), F.col(lang_col), profiles, langs).alias("_s"))
-    return s.select("item_id", "language", *keep, "_s.features", "_s.normalized", "_s.patterns")
+    cols = [c for c in s.columns if c != "_s"]
+    return s.select(*cols, "_s.features", "_s.normalized", "_s.patterns")
 
 
 def _fp_expr(st: Column, cfg: DetectorConfig) -> Column:
@@ -139,9 +141,10 @@ def fingerprint_items(items: DataFrame, profiles: Mapping[str, LanguageProfile]
     """
     langs = list(languages) if languages is not None else list(profiles)
     st = _structure_expr(F.col(code_col), F.col(lang_col), profiles, langs)
-    out = items.select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
+    out = spread(items).select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
                        _fp_expr(st, cfg).alias("_f"))
-    return out.select("item_id", "language", *keep, "_f.*")
+    cols = [c for c in out.columns if c != "_f"]
+    return out.select(*cols, "_f.*")
 
 
 def fingerprints(structured: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:

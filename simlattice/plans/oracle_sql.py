@@ -123,7 +123,8 @@ def hamming_expr(ha: str, hb: str) -> str:
 
 
 def inter_expr(a: str, b: str) -> str:
-    return f"len(list_filter({a}, lambda x: list_contains({b}, x)))::BIGINT"
+    """Intersection size of two distinct-element lists."""
+    return f"len(list_intersect({a}, {b}))::BIGINT"
 
 
 def union_expr(a: str, b: str) -> str:
@@ -145,7 +146,7 @@ def verdict_select(a: str, b: str, hi: float = 0.80, med: float = 0.60, flag: fl
        {syn} AS syntactic_similarity,
        {dist} AS hamming_distance,
        {struct} AS structural_similarity,
-       CASE WHEN {ea} OR {eb} THEN []::VARCHAR[] ELSE list_sort(list_filter({a}.pset, lambda x: list_contains({b}.pset, x))) END AS matching_patterns,
+       CASE WHEN {ea} OR {eb} THEN []::VARCHAR[] ELSE list_sort(list_intersect({a}.pset, {b}.pset)) END AS matching_patterns,
        CASE WHEN {ea} OR {eb} THEN '0/0' ELSE {i}::VARCHAR || '/' || {u}::VARCHAR END AS pattern_match_ratio,
        {a}.language AS lang1, {b}.language AS lang2,
        CASE WHEN {syn} >= {struct} THEN 'syntactic' ELSE 'structural' END AS method_used"""
@@ -153,3 +154,25 @@ def verdict_select(a: str, b: str, hi: float = 0.80, med: float = 0.60, flag: fl
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip().rstrip(",") for c in ctes) + "\n"
+
+
+def sig_pairs_sql(ctes: tuple[str, ...], fp: str, t: float) -> str:
+    """Grouped all-pairs (see operators.pairs.all_pairs) over fingerprint CTE ``fp``; result CTE ``ap``."""
+    return with_(*ctes, f"""
+sig AS (SELECT language, hash_hex, pset, min(item_id) AS rep, count(*) AS n, any_value(patterns) AS patterns
+     FROM {fp} GROUP BY language, hash_hex, pset),
+pr AS (SELECT 'pair' AS kind, a.rep AS item_a, b.rep AS item_b, a.n AS n_a, b.n AS n_b, (a.n * b.n)::BIGINT AS n_pairs,
+       {verdict_select('a', 'b')}
+     FROM sig a JOIN sig b ON a.rep < b.rep WHERE NOT (len(a.pset) = 0 AND len(b.pset) = 0)),
+wi AS (SELECT 'within' AS kind, rep AS item_a, rep AS item_b, n AS n_a, n AS n_b, (n * (n - 1) // 2)::BIGINT AS n_pairs,
+       1.0 AS similarity, true AS plagiarism_detected, 'high' AS confidence, 1.0 AS syntactic_similarity,
+       0 AS hamming_distance, 1.0 AS structural_similarity, pset AS matching_patterns,
+       CASE WHEN len(pset) = 0 THEN '0/0' ELSE len(pset)::VARCHAR || '/' || len(pset)::VARCHAR END AS pattern_match_ratio,
+       language AS lang1, language AS lang2, 'syntactic' AS method_used FROM sig WHERE n >= 2),
+ec AS (SELECT 'empty_class' AS kind, min(rep) AS item_a, min(rep) AS item_b, sum(n)::BIGINT AS n_a, sum(n)::BIGINT AS n_b,
+       ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS n_pairs, 1.0 AS similarity, true AS plagiarism_detected,
+       'high' AS confidence, NULL::DOUBLE AS syntactic_similarity, NULL::INTEGER AS hamming_distance,
+       1.0 AS structural_similarity, []::VARCHAR[] AS matching_patterns, '0/0' AS pattern_match_ratio,
+       language AS lang1, language AS lang2, 'structural' AS method_used
+     FROM sig WHERE len(pset) = 0 GROUP BY language HAVING count(*) >= 2),
+ap AS (SELECT * FROM pr WHERE similarity >= {t} UNION ALL SELECT * FROM wi UNION ALL SELECT * FROM ec)""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..config import DEFAULT_PROFILES, update_patterns
 from . import pages as P
 from .oracle_sql import (fp_cte, hamming_expr, html_struct_cte, html_tags_cte, inter_expr, shingle_expr,
-                         adaptive_k_expr, union_expr, verdict_select, with_)
+                         adaptive_k_expr, sig_pairs_sql, union_expr, with_)
 
 H = html_struct_cte()
 FP = fp_cte("h_struct", "fp")
@@ -36,7 +36,7 @@ def _st_hits(t: float, limit: int, name: str = "st") -> str:
     return f"""
 {name}_all AS (SELECT q.item_id AS query_id, b.id,
        CASE WHEN {u} = 0 THEN 0.0 ELSE {i}::DOUBLE / {u}::DOUBLE END AS similarity,
-       list_sort(list_filter(q.pset, lambda x: list_contains(b.pset, x))) AS matching_patterns
+       list_sort(list_intersect(q.pset, b.pset)) AS matching_patterns
      FROM fp q, bank b WHERE len(b.patterns) > 0),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn
      FROM {name}_all WHERE similarity >= {t}) WHERE rn <= {limit})"""
@@ -57,24 +57,7 @@ comb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _sig_pairs(t: float) -> str:
-    return with_(H, FP, f"""
-sig AS (SELECT language, hash_hex, pset, min(item_id) AS rep, count(*) AS n, any_value(patterns) AS patterns
-     FROM fp GROUP BY language, hash_hex, pset),
-pr AS (SELECT 'pair' AS kind, a.rep AS item_a, b.rep AS item_b, a.n AS n_a, b.n AS n_b, (a.n * b.n)::BIGINT AS n_pairs,
-       {verdict_select('a', 'b')}
-     FROM sig a JOIN sig b ON a.rep < b.rep WHERE NOT (len(a.pset) = 0 AND len(b.pset) = 0)),
-wi AS (SELECT 'within' AS kind, rep AS item_a, rep AS item_b, n AS n_a, n AS n_b, (n * (n - 1) // 2)::BIGINT AS n_pairs,
-       1.0 AS similarity, true AS plagiarism_detected, 'high' AS confidence, 1.0 AS syntactic_similarity,
-       0 AS hamming_distance, 1.0 AS structural_similarity, pset AS matching_patterns,
-       CASE WHEN len(pset) = 0 THEN '0/0' ELSE len(pset)::VARCHAR || '/' || len(pset)::VARCHAR END AS pattern_match_ratio,
-       language AS lang1, language AS lang2, 'syntactic' AS method_used FROM sig WHERE n >= 2),
-ec AS (SELECT 'empty_class' AS kind, min(rep) AS item_a, min(rep) AS item_b, sum(n)::BIGINT AS n_a, sum(n)::BIGINT AS n_b,
-       ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS n_pairs, 1.0 AS similarity, true AS plagiarism_detected,
-       'high' AS confidence, NULL::DOUBLE AS syntactic_similarity, NULL::INTEGER AS hamming_distance,
-       1.0 AS structural_similarity, []::VARCHAR[] AS matching_patterns, '0/0' AS pattern_match_ratio,
-       language AS lang1, language AS lang2, 'structural' AS method_used
-     FROM sig WHERE len(pset) = 0 GROUP BY language HAVING count(*) >= 2),
-ap AS (SELECT * FROM pr WHERE similarity >= {t} UNION ALL SELECT * FROM wi UNION ALL SELECT * FROM ec)""")
+    return sig_pairs_sql((H, FP), "fp", t)
 
 
 def _custom():
@@ -109,7 +92,7 @@ pr AS (SELECT 'pair' AS kind, a.rep AS item_a, b.rep AS item_b, a.n AS n_a, b.n
        CASE WHEN len(a.pset) = 0 AND len(b.pset) = 0 THEN 1.0 WHEN len(a.pset) = 0 OR len(b.pset) = 0 THEN 0.0
             ELSE {i}::DOUBLE / {u}::DOUBLE END AS structural_similarity,
        CASE WHEN len(a.pset) = 0 OR len(b.pset) = 0 THEN []::VARCHAR[]
-            ELSE list_sort(list_filter(a.pset, lambda x: list_contains(b.pset, x))) END AS matching_patterns,
+            ELSE list_sort(list_intersect(a.pset, b.pset)) END AS matching_patterns,
        CASE WHEN len(a.pset) = 0 OR len(b.pset) = 0 THEN '0/0' ELSE {i}::VARCHAR || '/' || {u}::VARCHAR END AS pattern_match_ratio
      FROM sig a JOIN sig b ON a.rep < b.rep)""") + f"""
 SELECT * FROM pr WHERE structural_similarity >= {P.JACCARD_T}

@@ -68,3 +68,17 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work enough tasks.
+
+    A small input file is one split and would run every fold on one core; when
+    the scan has fewer partitions than the cluster's parallelism the rows are
+    redistributed round-robin. Large inputs already have many splits and are
+    left alone (no shuffle at scale).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
