@@ -110,7 +110,7 @@ def structure(items: DataFrame, profiles: Mapping[str, LanguageProfile] = DEFAUL
     first to split them off).
     """
     langs = list(languages) if languages is not None else list(profiles)
-    s = spread(items).select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
+    s = (items if items.isStreaming else spread(items)).select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
                      _structure_expr(F.col(code_col), F.col(lang_col), profiles, langs).alias("_s"))
     cols = [c for c in s.columns if c != "_s"]
     return s.select(*cols, "_s.features", "_s.normalized", "_s.patterns")
@@ -141,7 +141,8 @@ def fingerprint_items(items: DataFrame, profiles: Mapping[str, LanguageProfile]
     """
     langs = list(languages) if languages is not None else list(profiles)
     st = _structure_expr(F.col(code_col), F.col(lang_col), profiles, langs)
-    out = spread(items).select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
+    src = items if items.isStreaming else spread(items)
+    out = src.select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
                        _fp_expr(st, cfg).alias("_f"))
     cols = [c for c in out.columns if c != "_f"]
     return out.select(*cols, "_f.*")
