@@ -217,7 +217,7 @@ def brace_structure(code: Column, profile: LanguageProfile) -> Column:
         is_call = t.endswith("(") & (t != "(")
         call_name = F.regexp_extract(t, r"^([A-Za-z_]\w*)", 1)
         real_call = is_call & ~call_name.isin(*BRACE_NOT_CALLS)
-        kw = F.when(t.rlike(r"^else\s+if$"), F.lit("elseif")).otherwise(t)
+        kw = F.when(t.startswith("else") & (t != "else"), F.lit("elseif")).otherwise(t)
         pat = _lookup(kwmap, kw)
         frame = F.create_map(*[v for k, fr in frame_of.items() for v in (F.lit(k), F.lit(fr))])
         fr = F.try_element_at(frame, kw)
@@ -263,9 +263,14 @@ def nd_strings(nd_array: Column) -> Column:
 
 
 def min_depth_shift(nd_array: Column) -> Column:
-    """Subtract the item's minimum depth from every depth."""
-    m = F.array_min(F.transform(nd_array, lambda x: x["d"]))
-    return F.transform(nd_array, lambda x: _nd(x["n"], x["d"] - m))
+    """Subtract the item's minimum depth from every depth.
+
+    The array and its minimum are bound once; referencing them from inside the
+    per-element lambda would re-evaluate them for every element.
+    """
+    return let(nd_array, lambda arr: let(
+        F.array_min(F.transform(arr, lambda x: x["d"])),
+        lambda m: F.transform(arr, lambda x: _nd(x["n"], x["d"] - m))))
 
 
 def map_names(nd_array: Column, profile: LanguageProfile) -> Column:

@@ -113,10 +113,12 @@ def set_candidates(left: DataFrame, key: str, set_col: str, t: float, right: Dat
 
 def signatures(fp: DataFrame, by: list[str], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """One row per distinct value of ``by``: rep (smallest item id), member count, payload."""
-    payload = [c for c in ["language", "patterns", "pset", "hash_hex"] + [f"h{j}" for j in range(cfg.hash_words)]
+    payload = [c for c in ["language", "pset", "hash_hex"] + [f"h{j}" for j in range(cfg.hash_words)]
                if c not in by]
     agg = [F.min("item_id").alias("rep"), F.count(F.lit(1)).alias("n")]
     agg += [F.first(c).alias(c) for c in payload]
+    # only the emptiness of the pattern list matters between signatures; keep one element, not the list
+    agg.append(F.first(F.slice("patterns", 1, 1)).alias("patterns"))
     return fp.groupBy(*by).agg(*agg)
 
 
