@@ -130,7 +130,13 @@ def _within_rows(sigs: DataFrame) -> DataFrame:
 
 
 def _pair_side(sigs: DataFrame, p: str) -> DataFrame:
-    return sigs.select(*[F.col(c).alias(p + c) for c in sigs.columns])
+    """A prefixed copy of the signature table for the payload joins.
+
+    Its size grows with the data (pattern sets ride along) and has no proven
+    bound, so the join is pinned to a shuffle sort-merge join instead of
+    trusting a size estimate for a broadcast.
+    """
+    return sigs.select(*[F.col(c).alias(p + c) for c in sigs.columns]).hint("merge")
 
 
 def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
@@ -140,7 +146,7 @@ def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfi
     sigs = signatures(fp, ["language", "hash_hex", "pset"], cfg).withColumn("_empty", F.size("pset") == 0)
     sigs = sigs.persist()
     nonempty = sigs.filter(~F.col("_empty"))
-    hc = hash_candidates(sigs, "rep", "hash_hex", d, cfg=cfg)
+    hc = verified_hash_pairs(sigs, d, cfg)
     sc = set_candidates(nonempty, "rep", "pset", t)
     cand = hc.unionByName(sc).distinct()
     a, b = _pair_side(sigs, "a_"), _pair_side(sigs, "b_")
@@ -179,6 +185,22 @@ def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfi
     return v.unionByName(w).unionByName(ec)
 
 
+def verified_hash_pairs(sigs: DataFrame, d: int, cfg: DetectorConfig = DetectorConfig(), key: str = "rep") -> DataFrame:
+    """Band candidates checked on the 64-bit words alone (narrow rows), before any wide payload is joined.
+
+    One-byte bands collide by chance about once per 256 pairs; those coincidences
+    are dropped here, so only true Hamming matches reach the payload joins.
+    """
+    words = [f"h{j}" for j in range(cfg.hash_words)]
+    narrow = sigs.select(F.col(key).alias("k"), "hash_hex", *words)
+    cand = hash_candidates(narrow, "k", "hash_hex", d, cfg=cfg)
+    l = narrow.select(F.col("k").alias("k_l"), *[F.col(w).alias("l_" + w) for w in words])
+    r = narrow.select(F.col("k").alias("k_r"), *[F.col(w).alias("r_" + w) for w in words])
+    j = cand.join(l, "k_l").join(r, "k_r")
+    dist = hamming([F.col("l_" + w) for w in words], [F.col("r_" + w) for w in words])
+    return j.filter(dist <= d).select("k_l", "k_r")
+
+
 def hamming_pairs(fp: DataFrame, t: float = 0.9, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Pairs with syntactic similarity >= t, grouped by hash."""
     d = check_hash_threshold(t, cfg)

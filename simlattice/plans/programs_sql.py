@@ -75,4 +75,8 @@ SELECT l_orderkey, name, {piv} FROM lng GROUP BY l_orderkey, name""",
         "verdict_strict": _pairs("chain", **strict) + "SELECT l_orderkey, lang1, lang2, similarity, method_used, "
                                                       "confidence, plagiarism_detected FROM pairs",
         "threshold_sweep": _pairs("chain") + sweep,
+        "report_rows": _pairs("chain") + """SELECT l_orderkey::VARCHAR || '.' || lang1 AS file_1,
+       l_orderkey::VARCHAR || '.' || lang2 AS file_2, printf('%.1f%%', similarity * 100) AS similarity,
+       printf('%.1f%%', syntactic_similarity * 100) AS syntactic, printf('%.1f%%', structural_similarity * 100) AS structural,
+       upper(confidence) AS confidence FROM pairs""",
     }

@@ -73,12 +73,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work enough tasks.
 
-    A small input file is one split and would run every fold on one core; when
-    the scan has fewer partitions than the cluster's parallelism the rows are
-    redistributed round-robin. Large inputs already have many splits and are
-    left alone (no shuffle at scale).
+    Use on a plain file scan (asking a scan for its partitions runs no job; on
+    a plan with shuffles it would). A small input file is one split and would run
+    every fold on one core; when the scan has fewer partitions than the
+    cluster's parallelism the rows are redistributed round-robin. Large inputs
+    already have many splits and are left alone (no shuffle at scale).
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Task count for CPU-heavy stages after a shuffle: the configured shuffle
+    partitions, at least the cluster's cores (AQE would otherwise coalesce a
+    small-but-expensive stage into a few tasks)."""
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(conf, spark.sparkContext.defaultParallelism)
