@@ -78,30 +78,36 @@ def _node_map(profile: LanguageProfile, keys: dict[str, str]) -> Column | None:
 # ---------------------------------------------------------------------------
 # python
 # ---------------------------------------------------------------------------
-def _python_lines(code: Column) -> Column:
+def _python_lines(code: Column, with_calls: bool = True) -> Column:
     cleaned = strip_noise(code, "python")
     lines = F.split(cleaned, "\n")
 
     def line_info(line: Column) -> Column:
-        expanded = F.regexp_replace(line, "\t", "        ")
+        # literal string functions where a regex is not needed (this runs per line of every file)
+        lead = F.regexp_extract(line, r"^[ \t]*", 0)
+        ind = F.length(lead) + 7 * (F.length(lead) - F.length(F.translate(lead, "\t", "")))
+        has_paren = F.instr(line, "(") > 0
         no_def = F.regexp_replace(line, r"\b(?:def|class)\s+[A-Za-z_]\w*", " ")
         names = F.regexp_extract_all(no_def, F.lit(r"([A-Za-z_]\w*)\s*\("), 1)
-        calls = F.size(F.filter(names, lambda n: ~n.isin(*PY_NOT_CALLS)))
-        opens = F.length(F.regexp_replace(line, r"[^(\[{]", ""))
-        closes = F.length(F.regexp_replace(line, r"[^)\]}]", ""))
+        calls = (F.when(has_paren, F.size(F.filter(names, lambda n: ~n.isin(*PY_NOT_CALLS)))).otherwise(F.lit(0))
+                 if with_calls else F.lit(0))
+        opens = F.length(line) - F.length(F.translate(line, "([{", ""))
+        closes = F.length(line) - F.length(F.translate(line, ")]}", ""))
+        stripped = F.btrim(line, F.lit(" \t\r\f\u000b"))
         return F.struct(
-            F.length(F.regexp_extract(expanded, r"^( *)", 1)).cast("int").alias("ind"),
+            ind.cast("int").alias("ind"),
             F.regexp_extract(line, PY_LINE_KW, 1).alias("kw"),
             (opens - closes).cast("int").alias("net"),
-            F.regexp_like(line, F.lit(r"\\\s*$")).alias("bs"),
-            (~F.regexp_like(line, F.lit(r"\S"))).alias("blank"),
+            stripped.endswith("\\").alias("bs"),
+            (F.length(stripped) == 0).alias("blank"),
             calls.cast("int").alias("calls"))
 
     return F.transform(lines, line_info)
 
 
-def python_structure(code: Column, profile: LanguageProfile) -> Column:
-    """struct<patterns: array<nd>, features: array<nd>> for python source."""
+def python_structure(code: Column, profile: LanguageProfile, with_features: bool = True) -> Column:
+    """struct<patterns: array<nd>, features: array<nd>> for python source
+    (``with_features=False``: patterns only, features left empty)."""
     kwmap = _kw_map(profile, {"for": "for_statement", "while": "while_statement", "if": "if_statement",
                               "try": "try_statement", "with": "with_statement",
                               "def": "function_definition", "class": "class_definition"})
@@ -110,6 +116,8 @@ def python_structure(code: Column, profile: LanguageProfile) -> Column:
                                   "def": "function_definition", "class": "class_definition",
                                   "return": "return_statement"})
     call_node = "call" if "call" in profile.structural_nodes else None
+    if not with_features:
+        nodemap, call_node = None, None
 
     init = F.struct(
         F.array().cast("array<struct<ind:int,w:int>>").alias("stk"),
@@ -145,7 +153,7 @@ def python_structure(code: Column, profile: LanguageProfile) -> Column:
                  .when((acc["bal"] > 0) | acc["cont"], cont)
                  .otherwise(stmt))
 
-    folded = F.aggregate(_python_lines(code), init, step)
+    folded = F.aggregate(_python_lines(code, with_calls=call_node is not None), init, step)
     return F.struct(folded["out"].alias("patterns"), folded["feats"].alias("features"))
 
 
@@ -160,17 +168,18 @@ BRACE_TOKENS = (r"\belse\s+if\b|\b(?:forin|for|while|do|if|else|try|return|class
                 r"|[A-Za-z_]\w*\s*\(|[{}();]")
 
 
-def _brace_tokens(code: Column) -> Column:
+def _brace_tokens(code: Column, mark_for_in: bool = True, mark_decl: bool = True) -> Column:
     cleaned = strip_noise(code, "brace")
-    marked = F.regexp_replace(cleaned, BRACE_FOR_IN, "forin$1")
-    marked = F.regexp_replace(marked, BRACE_DECL, "$1 DECL ($2){")
+    marked = F.regexp_replace(cleaned, BRACE_FOR_IN, "forin$1") if mark_for_in else cleaned
+    marked = F.regexp_replace(marked, BRACE_DECL, "$1 DECL ($2){") if mark_decl else marked
     toks = F.regexp_extract_all(marked, F.lit(BRACE_TOKENS), 0)
     return let(toks, lambda ts: F.transform(
         ts, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(ts, i + 1), F.lit("")).alias("nx"))))
 
 
-def brace_structure(code: Column, profile: LanguageProfile) -> Column:
-    """struct<patterns: array<nd>, features: array<nd>> for java/cpp-like source."""
+def brace_structure(code: Column, profile: LanguageProfile, with_features: bool = True) -> Column:
+    """struct<patterns: array<nd>, features: array<nd>> for java/cpp-like source
+    (``with_features=False``: patterns only, features left empty)."""
     n2p = profile.node_to_pattern()
     forin_node = "enhanced_for_statement" if profile.name == "java" else "for_range_loop"
     if "enhanced_for_statement" in n2p and forin_node not in n2p:
@@ -183,6 +192,10 @@ def brace_structure(code: Column, profile: LanguageProfile) -> Column:
     call_node = next((n for n in ("method_invocation", "call_expression") if n in profile.structural_nodes), None)
     nodemap = _node_map(profile, {"for": "for_statement", "forin": forin_node, "while": "while_statement",
                                   "if": "if_statement", "try": "try_statement", "return": "return_statement"})
+    if not with_features:
+        decl_node = class_node = call_node = nodemap = None
+    # for-in marking only matters when it changes a pattern or a feature
+    mark_for_in = with_features or n2p.get(forin_node) != n2p.get("for_statement")
     try_counts = "try_statement" in n2p
     counted = "ILD" + ("E" if profile.else_counts else "") + ("T" if try_counts else "")
     elif_pattern = F.lit("COND") if profile.else_counts else _lookup(kwmap, F.lit("if"))
@@ -243,15 +256,15 @@ def brace_structure(code: Column, profile: LanguageProfile) -> Column:
              .when(t == "DECL", st(stk, f=add_feat(decl_node, sc)))
              .otherwise(acc))
 
-    folded = F.aggregate(_brace_tokens(code), init, step)
+    folded = F.aggregate(_brace_tokens(code, mark_for_in, mark_decl=decl_node is not None), init, step)
     return F.struct(folded["out"].alias("patterns"), folded["feats"].alias("features"))
 
 
-def code_structure(code: Column, profile: LanguageProfile) -> Column:
+def code_structure(code: Column, profile: LanguageProfile, with_features: bool = True) -> Column:
     if profile.lexer == "python":
-        return python_structure(code, profile)
+        return python_structure(code, profile, with_features)
     if profile.lexer == "brace":
-        return brace_structure(code, profile)
+        return brace_structure(code, profile, with_features)
     raise ValueError(f"no code fold for lexer {profile.lexer}")
 
 

@@ -63,23 +63,24 @@ def text_structure(code: Column) -> Column:
     return F.struct(nd.alias("patterns"), nd.alias("features"))
 
 
-def _profile_structure(code: Column, profile: LanguageProfile) -> Column:
+def _profile_structure(code: Column, profile: LanguageProfile, with_features: bool = True) -> Column:
     if profile.lexer == "html":
         return html_structure(code, profile)
     if profile.lexer == "text":
         return text_structure(code)
-    return cf.code_structure(code, profile)
+    return cf.code_structure(code, profile, with_features)
 
 
 ND_PAIR = "struct<patterns:array<struct<n:string,d:int>>,features:array<struct<n:string,d:int>>>"
 
 
-def _structure_expr(code: Column, lang: Column, profiles: Mapping[str, LanguageProfile], langs: list[str]) -> Column:
+def _structure_expr(code: Column, lang: Column, profiles: Mapping[str, LanguageProfile], langs: list[str],
+                    with_features: bool = True) -> Column:
     """struct<features, normalized, patterns> (string arrays) for one item row."""
     expr = None
     for name in langs:
         p = profiles[name]
-        branch = _profile_structure(code, p)
+        branch = _profile_structure(code, p, with_features)
         expr = F.when(lang == name, branch) if expr is None else expr.when(lang == name, branch)
     expr = expr.otherwise(F.raise_error(F.concat(F.lit("Unsupported language: "), lang)).cast(ND_PAIR))
     blank = ~F.regexp_like(F.coalesce(code, F.lit("")), F.lit(BLANK_RE))
@@ -99,18 +100,20 @@ def _structure_expr(code: Column, lang: Column, profiles: Mapping[str, LanguageP
 
 def structure(items: DataFrame, profiles: Mapping[str, LanguageProfile] = DEFAULT_PROFILES,
               languages: Iterable[str] | None = None, keep: Iterable[str] = (),
-              id_col: str = "item_id", lang_col: str = "language", code_col: str = "code") -> DataFrame:
+              id_col: str = "item_id", lang_col: str = "language", code_col: str = "code",
+              with_features: bool = True) -> DataFrame:
     """(item_id, language, features, normalized, patterns) for every item.
 
     ``features``: ``node:d<depth>`` for structural nodes in preorder.
     ``normalized``: node names mapped to patterns where mapped, depths minus the
     item minimum. ``patterns``: control-flow list. Whitespace-only text has no
-    structure. Unknown languages raise at run time (use ``quarantine_unknown``
+    structure. ``with_features=False`` computes the control-flow list only
+    (code profiles skip the feature-only tokenizer passes; features are empty). Unknown languages raise at run time (use ``quarantine_unknown``
     first to split them off).
     """
     langs = list(languages) if languages is not None else list(profiles)
     s = items.select(F.col(id_col).alias("item_id"), F.col(lang_col).alias("language"), *keep,
-                     _structure_expr(F.col(code_col), F.col(lang_col), profiles, langs).alias("_s"))
+                     _structure_expr(F.col(code_col), F.col(lang_col), profiles, langs, with_features).alias("_s"))
     cols = [c for c in s.columns if c != "_s"]
     return s.select(*cols, "_s.features", "_s.normalized", "_s.patterns")
 
