@@ -6,9 +6,9 @@ identical for every measure, so they are reported as one ``within`` row with
 their pair count instead of emitting all pairs of the group. Between
 signatures, candidates come from two exact branches:
 
-* hash branch: Hamming distance <= d with d+1 <= 32 contiguous byte bands
-  (pigeonhole: two hashes within d bits agree on at least one band), equi-join
-  on (band, value);
+* hash branch: Hamming distance <= d via the generalised pigeonhole on
+  hex-aligned bands (see ``band_layout``): equi-join on (band, value), one
+  side also listing 1-bit neighbour values when the layout needs radius 1;
 * set branch: Jaccard >= t with the prefix filter (each set keeps its
   ``|A| - ceil(t|A|) + 1`` rarest tokens in one global order; two sets with
   Jaccard >= t share a prefix token) plus the size filter
@@ -53,31 +53,68 @@ def check_hash_threshold(t: float, cfg: DetectorConfig = DetectorConfig()) -> in
     return d
 
 
-def _bands(d: int, nbytes: int) -> list[tuple[int, int]]:
-    """d+1 contiguous byte ranges (start, length) covering the hash."""
-    b = d + 1
-    base, extra = divmod(nbytes, b)
+def band_layout(d: int, nhex: int = 64) -> tuple[list[tuple[int, int]], int]:
+    """Hex-aligned bands and a radius r with r = floor(d / #bands) <= 1.
+
+    Generalised pigeonhole: if two hashes differ in at most d bits and are cut
+    into m bands, some band differs in at most floor(d/m) bits. d <= 15 uses
+    d+1 bands of >= 16 bits matched exactly; 16 <= d <= 31 uses d//2+1 bands of
+    up to 28 bits matched within one bit (each side lists its 1-bit neighbours).
+    Wider bands mean far fewer chance collisions between unrelated hashes.
+    """
+    if d < 0:
+        raise ValueError("negative distance")
+    if d <= 15:
+        m, r = d + 1, 0
+    elif d <= 31:
+        m, r = d // 2 + 1, 1
+    else:
+        raise ValueError("d > 31 is not bandable exactly")
+    base, extra = divmod(nhex, m)
     out, start = [], 0
-    for i in range(b):
-        ln = base + (1 if i < extra else 0)
-        out.append((start, ln))
-        start += ln
-    return out
-
-
-def band_rows(df: DataFrame, key: str, hex_col: str, d: int, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    bands = _bands(d, cfg.hash_bytes)
-    arr = F.array(*[F.struct(F.lit(i).alias("band"),
-                             F.substring(F.col(hex_col), s * 2 + 1, ln * 2).alias("val"))
-                    for i, (s, ln) in enumerate(bands)])
+    for i in range(m):
+        w = base + (1 if i < extra else 0)
+        out.append((start, w))
+        start += w
+    return out, r
+
+
+def _tag_band(i: int):
+    return lambda x: F.struct(F.lit(i).alias("band"), x.cast("string").alias("val"))
+
+
+def band_rows(df: DataFrame, key: str, hex_col: str, d: int, cfg: DetectorConfig = DetectorConfig(),
+              neighbours: bool = False) -> DataFrame:
+    """(k, band, val) rows; with radius 1 and ``neighbours`` also every 1-bit neighbour value."""
+    bands, r = band_layout(d, cfg.hash_bytes * 2)
+    h = F.col(hex_col)
+    if r == 0:
+        arr = F.array(*[F.struct(F.lit(i).alias("band"), F.substring(h, s + 1, w).alias("val"))
+                        for i, (s, w) in enumerate(bands)])
+        return df.select(F.col(key).alias("k"), F.explode(arr).alias("b")).select("k", "b.band", "b.val")
+    cells = []
+    for i, (s, w) in enumerate(bands):
+        v = F.conv(F.substring(h, s + 1, w), 16, 10).cast("long")
+        if neighbours:
+            vals = F.concat(F.array(v), F.transform(F.sequence(F.lit(0), F.lit(4 * w - 1)),
+                                                    lambda j: F.pow(F.lit(2.0), j).cast("long").bitwiseXOR(v)))
+        else:
+            vals = F.array(v)
+        cells.append(F.transform(vals, _tag_band(i)))
+    arr = F.flatten(F.array(*cells))
     return df.select(F.col(key).alias("k"), F.explode(arr).alias("b")).select("k", "b.band", "b.val")
 
 
 def hash_candidates(left: DataFrame, key: str, hex_col: str, d: int, right: DataFrame | None = None,
                     cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Key pairs (k_l, k_r) that may be within d bits; self-join gives k_l < k_r."""
+    """Key pairs (k_l, k_r) that may be within d bits; self-join gives k_l < k_r.
+
+    Left rows carry exact band values, right rows also their 1-bit neighbours
+    (radius-1 layouts), so a pair whose closest band differs in one bit meets
+    in either orientation.
+    """
     lb = band_rows(left, key, hex_col, d, cfg).alias("l")
-    rb = band_rows(right if right is not None else left, key, hex_col, d, cfg).alias("r")
+    rb = band_rows(right if right is not None else left, key, hex_col, d, cfg, neighbours=True).alias("r")
     cond = [F.col("l.band") == F.col("r.band"), F.col("l.val") == F.col("r.val")]
     if right is None:
         cond.append(F.col("l.k") < F.col("r.k"))

@@ -70,12 +70,13 @@ def test_band_candidates_find_all_close_hashes(spark):
                 m ^= 1 << bit
             hexes.append(m)
     hexes = [f"{h:064x}" for h in hexes]
-    d = hamming_bound(0.9)
     df = spark.createDataFrame(list(enumerate(hexes)), "k long, h string")
-    got = {(r.k_l, r.k_r) for r in hash_candidates(df, "k", "h", d).collect()}
-    want = {(i, j) for i, j in itertools.combinations(range(len(hexes)), 2)
-            if bin(int(hexes[i], 16) ^ int(hexes[j], 16)).count("1") <= d}
-    assert want <= got
+    for t in (0.9, 0.95, 0.99):                  # radius-1 and radius-0 band layouts
+        d = hamming_bound(t)
+        got = {(r.k_l, r.k_r) for r in hash_candidates(df, "k", "h", d).collect()}
+        want = {(i, j) for i, j in itertools.combinations(range(len(hexes)), 2)
+                if bin(int(hexes[i], 16) ^ int(hexes[j], 16)).count("1") <= d}
+        assert want and want <= got
 
 
 def test_prefix_filter_candidates_are_complete(spark):
