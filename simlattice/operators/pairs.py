@@ -14,10 +14,11 @@ signatures, candidates come from two exact branches:
   Jaccard >= t share a prefix token) plus the size filter
   ``t|A| <= |B| <= |A|/t``.
 
-Items without control flow compare at 1.0 to each other (pairwise rule). They
-form one class per language; pairs across different hashes in that class are
-reported as one ``empty_class`` row (their hashes differ, so Hamming is left
-NULL there), never expanded.
+Items with the same pattern set compare at structural 1.0 to each other (two
+empty lists included), so a pattern-set class is reported as one
+``same_patterns`` row with its pair count (their hashes differ, so Hamming is
+left NULL there), never expanded; candidate generation runs between distinct
+classes.
 
 No cartesian product is used anywhere; thresholds whose Hamming bound exceeds
 31 bits cannot be answered exactly without one and are refused.
@@ -176,19 +177,42 @@ def _pair_side(sigs: DataFrame, p: str) -> DataFrame:
     return sigs.select(*[F.col(c).alias(p + c) for c in sigs.columns]).hint("merge")
 
 
+def _set_key(col: str = "pset"):
+    return F.sha2(F.array_join(F.col(col), "\u0001"), 256)
+
+
 def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Every pair with similarity >= t, grouped by signature (see module doc)."""
+    """Every pair with similarity >= t, grouped (see module doc).
+
+    kind='within': members of one signature (same language, hash and pattern
+    set), all scores exact. kind='same_patterns': members of one pattern-set
+    class that sit in different signatures -- structural 1.0, so similarity 1.0
+    for every such pair; their Hamming distances differ per pair and are left
+    NULL (``lang1``/``lang2`` are the class's smallest and largest language).
+    kind='pair': two signatures of different classes, full verdict.
+    """
     d = check_hash_threshold(t, cfg)
-    fp = fp.withColumn("_empty", F.size("patterns") == 0)
-    sigs = signatures(fp, ["language", "hash_hex", "pset"], cfg).withColumn("_empty", F.size("pset") == 0)
-    sigs = sigs.persist()
-    nonempty = sigs.filter(~F.col("_empty"))
+    sigs = signatures(fp, ["language", "hash_hex", "pset"], cfg).withColumn("_empty", F.size("pset") == 0) \
+        .withColumn("_pk", _set_key()).persist()
+    classes = sigs.groupBy("_pk").agg(
+        F.min("rep").alias("crep"), F.sum("n").alias("tot"), F.sum(F.col("n") * F.col("n")).alias("sq"),
+        F.count(F.lit(1)).alias("nsig"), F.min("language").alias("l1"), F.max("language").alias("l2"),
+        F.first("pset").alias("pset"))
+    member = sigs.select("rep", "_pk").join(classes.select("_pk", "crep"), "_pk").select("rep", "crep")
+    # hash branch: signature pairs within d bits, minus pairs inside one class
     hc = verified_hash_pairs(sigs, d, cfg)
-    sc = set_candidates(nonempty, "rep", "pset", t)
+    ca = member.select(F.col("rep").alias("k_l"), F.col("crep").alias("c_l"))
+    cb = member.select(F.col("rep").alias("k_r"), F.col("crep").alias("c_r"))
+    hc = hc.join(ca, "k_l").join(cb, "k_r").filter(F.col("c_l") != F.col("c_r")).select("k_l", "k_r")
+    # set branch between distinct classes, expanded to their signatures
+    cc = set_candidates(classes.filter(F.size("pset") > 0), "crep", "pset", t)
+    ea = member.select(F.col("crep").alias("k_l"), F.col("rep").alias("s_l"))
+    eb = member.select(F.col("crep").alias("k_r"), F.col("rep").alias("s_r"))
+    sc = cc.join(ea, "k_l").join(eb, "k_r").select(
+        F.least("s_l", "s_r").alias("k_l"), F.greatest("s_l", "s_r").alias("k_r"))
     cand = hc.unionByName(sc).distinct()
     a, b = _pair_side(sigs, "a_"), _pair_side(sigs, "b_")
     j = cand.join(a, F.col("k_l") == F.col("a_rep")).join(b, F.col("k_r") == F.col("b_rep"))
-    j = j.filter(~(F.col("a__empty") & F.col("b__empty")))
     from .compare import verdict_columns
     v = j.select(F.lit("pair").alias("kind"), F.col("a_rep").alias("item_a"), F.col("b_rep").alias("item_b"),
                  F.col("a_n").alias("n_a"), F.col("b_n").alias("n_b"),
@@ -200,26 +224,24 @@ def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfi
                       F.lit(1.0).alias("similarity"), F.lit(True).alias("plagiarism_detected"),
                       F.lit("high").alias("confidence"), F.lit(1.0).alias("syntactic_similarity"),
                       F.lit(0).alias("hamming_distance"), F.lit(1.0).alias("structural_similarity"),
-                      F.col("pset").alias("matching_patterns"),
-                      F.when(F.col("_empty"), F.lit("0/0")).otherwise(
-                          F.concat(F.size("pset").cast("string"), F.lit("/"), F.size("pset").cast("string"))
-                      ).alias("pattern_match_ratio"),
+                      F.col("pset").alias("matching_patterns"), _self_ratio("pset").alias("pattern_match_ratio"),
                       F.col("language").alias("lang1"), F.col("language").alias("lang2"),
                       F.lit("syntactic").alias("method_used"))
-    em = sigs.filter(F.col("_empty")).groupBy("language").agg(
-        F.min("rep").alias("rep"), F.sum("n").alias("tot"), F.sum(F.col("n") * F.col("n")).alias("sq"),
-        F.count(F.lit(1)).alias("nsig"))
-    ec = em.filter(F.col("nsig") >= 2).select(
-        F.lit("empty_class").alias("kind"), F.col("rep").alias("item_a"), F.col("rep").alias("item_b"),
+    sp = classes.filter(F.col("nsig") >= 2).select(
+        F.lit("same_patterns").alias("kind"), F.col("crep").alias("item_a"), F.col("crep").alias("item_b"),
         F.col("tot").alias("n_a"), F.col("tot").alias("n_b"),
         ((F.col("tot") * F.col("tot") - F.col("sq")) / 2).cast("bigint").alias("n_pairs"),
         F.lit(1.0).alias("similarity"), F.lit(True).alias("plagiarism_detected"),
         F.lit("high").alias("confidence"), F.lit(None).cast("double").alias("syntactic_similarity"),
         F.lit(None).cast("int").alias("hamming_distance"), F.lit(1.0).alias("structural_similarity"),
-        F.array().cast("array<string>").alias("matching_patterns"), F.lit("0/0").alias("pattern_match_ratio"),
-        F.col("language").alias("lang1"), F.col("language").alias("lang2"),
-        F.lit("structural").alias("method_used"))
-    return v.unionByName(w).unionByName(ec)
+        F.col("pset").alias("matching_patterns"), _self_ratio("pset").alias("pattern_match_ratio"),
+        F.col("l1").alias("lang1"), F.col("l2").alias("lang2"), F.lit("structural").alias("method_used"))
+    return v.unionByName(w).unionByName(sp)
+
+
+def _self_ratio(col: str):
+    n = F.size(col).cast("string")
+    return F.when(F.size(col) == 0, F.lit("0/0")).otherwise(F.concat(n, F.lit("/"), n))
 
 
 def verified_hash_pairs(sigs: DataFrame, d: int, cfg: DetectorConfig = DetectorConfig(), key: str = "rep") -> DataFrame:
@@ -280,18 +302,26 @@ def jaccard_pairs(fp: DataFrame, t: float = 0.6) -> DataFrame:
     return pairs.unionByName(within)
 
 
-def expand_pairs(grouped: DataFrame, fp: DataFrame, by: list[str]) -> DataFrame:
-    """Item-level pairs from a grouped result (output is quadratic in group sizes;
-    use only when the caller needs every pair listed)."""
-    members = fp.select("item_id", *by)
-    reps = signatures(fp, by).select(*by, "rep")
-    m = members.join(reps, by).select("item_id", "rep")
-    a = m.select(F.col("item_id").alias("a_id"), F.col("rep").alias("item_a"))
-    b = m.select(F.col("item_id").alias("b_id"), F.col("rep").alias("item_b"))
-    g = grouped.filter(F.col("kind") != "empty_class")
-    j = g.join(a, "item_a").join(b, "item_b")
-    j = j.filter((F.col("kind") == "pair") | (F.col("a_id") < F.col("b_id")))
-    return j.withColumn("item_a", F.least("a_id", "b_id")).withColumn("item_b", F.greatest("a_id", "b_id")).drop("a_id", "b_id")
+def expand_pairs(grouped: DataFrame, fp: DataFrame) -> DataFrame:
+    """Item-level (item_a, item_b, kind) pairs from an :func:`all_pairs` result.
+
+    The output is quadratic in group sizes by nature; use it only when the
+    caller needs every pair listed (tests, small batches).
+    """
+    sig = signatures(fp, ["language", "hash_hex", "pset"]).select("language", "hash_hex", "pset", F.col("rep").alias("srep"))
+    cls = sig.groupBy("pset").agg(F.min("srep").alias("crep"))
+    m = (fp.select("item_id", "language", "hash_hex", "pset").join(sig, ["language", "hash_hex", "pset"])
+           .join(cls, "pset").select("item_id", "srep", "crep"))
+    ma = m.select(F.col("item_id").alias("a_id"), F.col("srep").alias("a_s"), F.col("crep").alias("a_c"))
+    mb = m.select(F.col("item_id").alias("b_id"), F.col("srep").alias("b_s"), F.col("crep").alias("b_c"))
+    g = grouped.select("kind", "item_a", "item_b")
+    pr = g.filter(F.col("kind") == "pair").join(ma, F.col("item_a") == F.col("a_s")).join(mb, F.col("item_b") == F.col("b_s"))
+    wi = (g.filter(F.col("kind") == "within").join(ma, F.col("item_a") == F.col("a_s"))
+            .join(mb, (F.col("item_a") == F.col("b_s")) & (F.col("a_id") < F.col("b_id"))))
+    sp = (g.filter(F.col("kind") == "same_patterns").join(ma, F.col("item_a") == F.col("a_c"))
+            .join(mb, (F.col("item_a") == F.col("b_c")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_s") != F.col("b_s"))))
+    out = pr.unionByName(wi).unionByName(sp)
+    return out.select("kind", F.least("a_id", "b_id").alias("item_a"), F.greatest("a_id", "b_id").alias("item_b"))
 
 
 def pair_budget(items: DataFrame) -> DataFrame:

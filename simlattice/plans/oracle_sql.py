@@ -161,18 +161,20 @@ def sig_pairs_sql(ctes: tuple[str, ...], fp: str, t: float) -> str:
     return with_(*ctes, f"""
 sig AS (SELECT language, hash_hex, pset, min(item_id) AS rep, count(*) AS n, any_value(patterns) AS patterns
      FROM {fp} GROUP BY language, hash_hex, pset),
+cls AS (SELECT pset, min(rep) AS crep, sum(n) AS tot, sum(n * n) AS sq, count(*) AS nsig,
+       min(language) AS l1, max(language) AS l2 FROM sig GROUP BY pset),
 pr AS (SELECT 'pair' AS kind, a.rep AS item_a, b.rep AS item_b, a.n AS n_a, b.n AS n_b, (a.n * b.n)::BIGINT AS n_pairs,
        {verdict_select('a', 'b')}
-     FROM sig a JOIN sig b ON a.rep < b.rep WHERE NOT (len(a.pset) = 0 AND len(b.pset) = 0)),
+     FROM sig a JOIN sig b ON a.rep < b.rep WHERE a.pset <> b.pset),
 wi AS (SELECT 'within' AS kind, rep AS item_a, rep AS item_b, n AS n_a, n AS n_b, (n * (n - 1) // 2)::BIGINT AS n_pairs,
        1.0 AS similarity, true AS plagiarism_detected, 'high' AS confidence, 1.0 AS syntactic_similarity,
        0 AS hamming_distance, 1.0 AS structural_similarity, pset AS matching_patterns,
        CASE WHEN len(pset) = 0 THEN '0/0' ELSE len(pset)::VARCHAR || '/' || len(pset)::VARCHAR END AS pattern_match_ratio,
        language AS lang1, language AS lang2, 'syntactic' AS method_used FROM sig WHERE n >= 2),
-ec AS (SELECT 'empty_class' AS kind, min(rep) AS item_a, min(rep) AS item_b, sum(n)::BIGINT AS n_a, sum(n)::BIGINT AS n_b,
-       ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS n_pairs, 1.0 AS similarity, true AS plagiarism_detected,
+sp AS (SELECT 'same_patterns' AS kind, crep AS item_a, crep AS item_b, tot::BIGINT AS n_a, tot::BIGINT AS n_b,
+       ((tot * tot - sq) // 2)::BIGINT AS n_pairs, 1.0 AS similarity, true AS plagiarism_detected,
        'high' AS confidence, NULL::DOUBLE AS syntactic_similarity, NULL::INTEGER AS hamming_distance,
-       1.0 AS structural_similarity, []::VARCHAR[] AS matching_patterns, '0/0' AS pattern_match_ratio,
-       language AS lang1, language AS lang2, 'structural' AS method_used
-     FROM sig WHERE len(pset) = 0 GROUP BY language HAVING count(*) >= 2),
-ap AS (SELECT * FROM pr WHERE similarity >= {t} UNION ALL SELECT * FROM wi UNION ALL SELECT * FROM ec)""")
+       1.0 AS structural_similarity, pset AS matching_patterns,
+       CASE WHEN len(pset) = 0 THEN '0/0' ELSE len(pset)::VARCHAR || '/' || len(pset)::VARCHAR END AS pattern_match_ratio,
+       l1 AS lang1, l2 AS lang2, 'structural' AS method_used FROM cls WHERE nsig >= 2),
+ap AS (SELECT * FROM pr WHERE similarity >= {t} UNION ALL SELECT * FROM wi UNION ALL SELECT * FROM sp)""")
