@@ -128,8 +128,17 @@ def python_structure(code: Column, profile: LanguageProfile, with_features: bool
         F.lit(False).alias("cont"))
 
     def step(acc: Column, x: Column) -> Column:
-        stk1 = F.filter(acc["stk"], lambda e: e["ind"] < x["ind"])
-        blk1 = F.filter(acc["blk"], lambda b: b < x["ind"])
+        return F.when(x["blank"], acc).when((acc["bal"] > 0) | acc["cont"], cont_line(acc, x)).otherwise(
+            let(F.struct(F.filter(acc["stk"], lambda e: e["ind"] < x["ind"]).alias("s"),
+                         F.filter(acc["blk"], lambda b: b < x["ind"]).alias("b")),
+                lambda popped: stmt_line(acc, x, popped["s"], popped["b"])))
+
+    def cont_line(acc: Column, x: Column) -> Column:
+        return F.struct(acc["stk"].alias("stk"), acc["blk"].alias("blk"), acc["out"].alias("out"),
+                        acc["feats"].alias("feats"),
+                        F.greatest(acc["bal"] + x["net"], F.lit(0)).alias("bal"), x["bs"].alias("cont"))
+
+    def stmt_line(acc: Column, x: Column, stk1: Column, blk1: Column) -> Column:
         d = F.aggregate(stk1, F.lit(0), lambda s, e: s + e["w"])
         sd = F.size(blk1)
         kw = x["kw"]
@@ -144,14 +153,8 @@ def python_structure(code: Column, profile: LanguageProfile, with_features: bool
             f2 = F.concat(f1, F.array_repeat(_nd(F.lit(call_node), sd + 1), x["calls"]))
         else:
             f2 = f1
-        stmt = F.struct(stk2.alias("stk"), blk2.alias("blk"), out2.alias("out"), f2.alias("feats"),
+        return F.struct(stk2.alias("stk"), blk2.alias("blk"), out2.alias("out"), f2.alias("feats"),
                         F.greatest(x["net"], F.lit(0)).alias("bal"), x["bs"].alias("cont"))
-        cont = F.struct(acc["stk"].alias("stk"), acc["blk"].alias("blk"), acc["out"].alias("out"),
-                        acc["feats"].alias("feats"),
-                        F.greatest(acc["bal"] + x["net"], F.lit(0)).alias("bal"), x["bs"].alias("cont"))
-        return (F.when(x["blank"], acc)
-                 .when((acc["bal"] > 0) | acc["cont"], cont)
-                 .otherwise(stmt))
 
     folded = F.aggregate(_python_lines(code, with_calls=call_node is not None), init, step)
     return F.struct(folded["out"].alias("patterns"), folded["feats"].alias("features"))
@@ -201,16 +204,29 @@ def brace_structure(code: Column, profile: LanguageProfile, with_features: bool
     elif_pattern = F.lit("COND") if profile.else_counts else _lookup(kwmap, F.lit("if"))
     frame_of = {"for": "L", "forin": "L", "while": "L", "do": "D", "if": "I", "try": "T"}
 
+    # stack edits with literal string functions (no regex per token)
     def depth(stk: Column) -> Column:
-        return F.length(F.regexp_replace(stk, f"[^{counted}]", ""))
+        return F.length(stk) - F.length(F.translate(stk, counted, ""))
+
+    def drop_back_past(stk: Column, opener: str) -> Column:
+        """Remove the last ``opener`` and everything after it (stack unchanged if absent)."""
+        p = F.instr(F.reverse(stk), opener)
+        return F.when(p > 0, F.substring(stk, 1, F.length(stk) - p)).otherwise(stk)
+
+    def drop_last(stk: Column) -> Column:
+        return F.substring(stk, 1, F.length(stk) - 1)
 
     def scope(stk: Column) -> Column:
         return F.length(F.regexp_replace(F.regexp_replace(stk, r"\(", ""), r"([ILDET])\{", "$1"))
 
     def complete(stk: Column, nx: Column) -> Column:
-        return (F.when(nx.startswith("else"), F.regexp_replace(stk, "I[LE]*$", ""))
-                 .when(nx.rlike(r"^(?:catch\b|catch\s*\(|finally\b)"), F.regexp_replace(stk, "[ILE]*$", ""))
-                 .otherwise(F.regexp_replace(stk, "[ILET]+$", "")))
+        # else: drop the innermost if with the loop/else frames above it (I[LE]*$);
+        # catch/finally: keep the try, drop what is above it; otherwise drop all braceless frames
+        no_le = F.rtrim(stk, F.lit("LE"))
+        else_case = F.when(no_le.endswith("I"), drop_last(no_le)).otherwise(stk)
+        return (F.when(nx.startswith("else"), else_case)
+                 .when(nx.startswith("catch") | nx.startswith("finally"), F.rtrim(stk, F.lit("ILE")))
+                 .otherwise(F.rtrim(stk, F.lit("ILET"))))
 
     init = F.struct(F.lit("").alias("stk"), _empty_nd().alias("out"), _empty_nd().alias("feats"))
 
@@ -242,14 +258,14 @@ def brace_structure(code: Column, profile: LanguageProfile, with_features: bool
         return (
             F.when(t == "(", st(F.concat(stk, F.lit("("))))
              .when(is_call, st(F.concat(stk, F.lit("(")), f=F.when(real_call, add_feat(call_node, sc + 1)).otherwise(feats)))
-             .when(t == ")", st(F.regexp_replace(stk, r"\([^(]*$", "")))
+             .when(t == ")", st(drop_back_past(stk, "(")))
              .when(t == "{", st(F.concat(stk, F.lit("{"))))
-             .when(t == "}", st(complete(F.regexp_replace(stk, r"\{[^{]*$", ""), nx)))
+             .when(t == "}", st(complete(drop_back_past(stk, "{"), nx)))
              .when(t == ";", st(F.when(stk.endswith("("), stk).otherwise(complete(stk, nx))))
              .when(t == "else", st(F.concat(stk, F.lit("E"))))
              .when(kw == "elseif", st(F.concat(stk, F.lit("I")), o=elif_out,
                                       f=add_feat(_lookup(nodemap, F.lit("if")), sc)))
-             .when((t == "while") & stk.endswith("D"), st(F.regexp_replace(stk, "D$", "")))
+             .when((t == "while") & stk.endswith("D"), st(drop_last(stk)))
              .when(fr.isNotNull(), st(F.concat(stk, fr), o=ctrl_out, f=add_feat(node, sc)))
              .when(t == "return", st(stk, f=add_feat(node, sc)))
              .when(t.isin("class", "struct"), st(stk, f=add_feat(class_node, sc)))
