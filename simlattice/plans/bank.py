@@ -22,6 +22,7 @@ from ..sources.tables import document_items
 BROWSE_LANGUAGE, BROWSE_TERM = "en", "doc_1"
 FILTER_SOURCE, FILTER_LANGUAGE = "src3", "en"
 NEAR_COPY_T = 0.9
+PASSAGE_T = 0.1
 
 
 def doc_fp(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,6 +172,16 @@ def all_pairs_documents(spark, sf):
     return P.all_pairs(doc_fp(spark, sf), NEAR_COPY_T)
 
 
-QUERIES = {f.__name__: f for f in (
+def search_benchmark(spark, sf):
+    """Where were benchmark passages copied from: passages (query side) against the documents bank."""
+    from ..operators import search as S
+    from ..sources.tables import benchmark_items
+    bank = doc_bank(spark, sf)
+    queries = fingerprint_items(benchmark_items(spark, sf), languages=["text"]).withColumnRenamed("item_id", "query_id")
+    hits = S.search_structural(queries, bank, PASSAGE_T, 100)
+    return S.attach_bank(hits, bank, ("source", "file_path", "language"))
+
+
+QUERIES = {f.__name__: f for f in (search_benchmark, 
     bank_scan, bank_reload, detect_language, provenance, filter_bank, browse_bank, blank_items, preview,
     get_item, codec_roundtrip, bank_upsert, bank_append, bank_stats, bank_cardinality, all_pairs_documents)}

@@ -75,4 +75,15 @@ UNION ALL SELECT 'source', source, count(*)::BIGINT FROM dbank GROUP BY source""
         "bank_cardinality": with_(D, DFP, DBANK) + "SELECT count(*) AS n_items, count(DISTINCT language) AS n_languages, "
                                                    "count(DISTINCT source) AS n_sources FROM dbank",
         "all_pairs_documents": sig_pairs_sql((D, DFP), "dfp", B.NEAR_COPY_T) + "SELECT * FROM ap",
+        "search_benchmark": with_(D, DFP, DBANK, bm, fp_cte("b_struct", "bfp")) + f"""
+, st AS (SELECT q.item_id AS query_id, b.id,
+       CASE WHEN len(list_union) = 0 THEN 0.0 ELSE len(list_inter)::DOUBLE / len(list_union)::DOUBLE END AS similarity,
+       list_sort(list_inter) AS matching_patterns, b.source, b.file_path, b.language
+     FROM (SELECT q.item_id, b.id, list_intersect(q.pset, b.pset) AS list_inter,
+                  list_distinct(list_concat(q.pset, b.pset)) AS list_union
+           FROM bfp q, dbank b WHERE len(b.patterns) > 0) x
+     JOIN bfp q ON q.item_id = x.item_id JOIN dbank b ON b.id = x.id)
+SELECT query_id, id, similarity, matching_patterns, 'structural' AS match_type, source, file_path, language
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn FROM st
+      WHERE similarity >= {B.PASSAGE_T}) WHERE rn <= 100""",
     }
