@@ -12,9 +12,10 @@ Structural features ``node_type:d<k>`` use *scope* depth (enclosing blocks),
 an approximation of syntax-tree depth: equal lexical structure gives equal
 features, but bits can differ from a grammar-based hasher.
 
-Python fold: a stack of (indent, weight) over logical lines. A line pops every
-entry with indent >= its own; ``for/while/if`` push weight 1, ``elif`` pops its
-``if`` and pushes again at the same depth, ``else`` pushes nothing. Lines inside
+Python fold: a stack of control-statement indents over logical lines. A line
+pops every entry with indent >= its own; ``for/while/if`` push, ``elif`` pops
+its ``if`` and pushes again at the same depth, ``else`` pushes nothing (so the
+else block sits at the depth of its ``if``). Lines inside
 open brackets or after a backslash are continuations and are skipped.
 
 Brace fold: a string stack of frames I(if) L(loop) D(do) E(plain else)
@@ -120,7 +121,7 @@ def python_structure(code: Column, profile: LanguageProfile, with_features: bool
         nodemap, call_node = None, None
 
     init = F.struct(
-        F.array().cast("array<struct<ind:int,w:int>>").alias("stk"),
+        F.array().cast("array<int>").alias("stk"),
         F.array().cast("array<int>").alias("blk"),
         _empty_nd().alias("out"),
         _empty_nd().alias("feats"),
@@ -129,7 +130,7 @@ def python_structure(code: Column, profile: LanguageProfile, with_features: bool
 
     def step(acc: Column, x: Column) -> Column:
         return F.when(x["blank"], acc).when((acc["bal"] > 0) | acc["cont"], cont_line(acc, x)).otherwise(
-            let(F.struct(F.filter(acc["stk"], lambda e: e["ind"] < x["ind"]).alias("s"),
+            let(F.struct(F.filter(acc["stk"], lambda e: e < x["ind"]).alias("s"),
                          F.filter(acc["blk"], lambda b: b < x["ind"]).alias("b")),
                 lambda popped: stmt_line(acc, x, popped["s"], popped["b"])))
 
@@ -139,13 +140,13 @@ def python_structure(code: Column, profile: LanguageProfile, with_features: bool
                         F.greatest(acc["bal"] + x["net"], F.lit(0)).alias("bal"), x["bs"].alias("cont"))
 
     def stmt_line(acc: Column, x: Column, stk1: Column, blk1: Column) -> Column:
-        d = F.aggregate(stk1, F.lit(0), lambda s, e: s + e["w"])
+        d = F.size(stk1)                      # every entry is one enclosing control statement
         sd = F.size(blk1)
         kw = x["kw"]
         pat = F.when(kw == "elif", F.lit("COND")).otherwise(_lookup(kwmap, kw))
         ctrl = pat.isNotNull()
         out2 = F.when(ctrl, F.concat(acc["out"], F.array(_nd(pat, d)))).otherwise(acc["out"])
-        stk2 = F.when(ctrl, F.concat(stk1, F.array(F.struct(x["ind"].alias("ind"), F.lit(1).alias("w"))))).otherwise(stk1)
+        stk2 = F.when(ctrl, F.concat(stk1, F.array(x["ind"]))).otherwise(stk1)
         blk2 = F.when(kw.isin(*PY_BLOCK_KEYWORDS), F.concat(blk1, F.array(x["ind"]))).otherwise(blk1)
         node = _lookup(nodemap, kw)
         f1 = F.when(node.isNotNull(), F.concat(acc["feats"], F.array(_nd(node, sd)))).otherwise(acc["feats"])
