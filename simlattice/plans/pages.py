@@ -141,7 +141,7 @@ def top_k_per_query(spark, sf):
     bank, queries = page_bank(fp), page_queries(fp)
     hits = S.search_combined(queries, bank, SEARCH_SYN_T, SEARCH_LIMIT)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
-    ranked = hits.select("query_id", "id", "similarity", "match_type", F.row_number().over(w).alias("rank"))
+    ranked = hits.select("query_id", "id", "similarity", "match_type", F.row_number().over(w).cast("long").alias("rank"))
     return ranked.filter(F.col("rank") <= SHOWN).withColumn("badge", sim.badge("similarity"))
 
 
