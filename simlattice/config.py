@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class DetectorConfig:
-    """Thresholds and hash parameters (defaults are the reference's)."""
+    """Thresholds and hash parameters. The defaults are fixed values of the contract."""
 
     high_confidence_threshold: float = 0.80
     medium_confidence_threshold: float = 0.60
@@ -25,12 +25,8 @@ class DetectorConfig:
     shingle_thresholds: tuple[int, int] = (5, 15)
 
     def __post_init__(self):
-        if self.hash_bits <= 0 or self.hash_bits % 64 != 0:
-            # The empty hash has hash_bits zeros while a real one has 8*(bits//8);
-            # 64-bit words keep Hamming distance on whole bigint words.
-            raise ValueError("hash_bits must be a positive multiple of 64")
-        if self.hash_bits > 8 * 32 * 64:
-            raise ValueError("hash_bits too large")
+        if self.hash_bits <= 0 or self.hash_bits % 8 != 0:
+            raise ValueError("hash_bits must be a positive number of whole bytes")
 
     @property
     def hash_bytes(self) -> int:
@@ -38,7 +34,7 @@ class DetectorConfig:
 
     @property
     def hash_words(self) -> int:
-        return self.hash_bits // 64
+        return -(-self.hash_bits // 64)
 
 
 @dataclass(frozen=True)
@@ -143,6 +139,8 @@ UPLOAD_ALLOWED = (".py", ".java", ".cpp", ".cc", ".c", ".h", ".hpp")
 PREVIEW_COMPARE, PREVIEW_BROWSE, PREVIEW_SEARCH, PREVIEW_ADD = 3000, 2000, 800, 500
 BROWSE_LIMIT = 50
 SEARCH_LIMIT = 100
+#: Hashes of unlike structure differ in about half of their bits, so this finds what lower syntactic thresholds mean.
+SYNTACTIC_T = 0.97
 SHOWN_HITS = 10
 MATRIX_MAX_FILES = 20
 MATRIX_NAME_CHARS = 20
@@ -175,7 +173,7 @@ DEFAULT_PROFILES: Mapping[str, LanguageProfile] = MappingProxyType(
 def register_profile(profiles: Mapping[str, LanguageProfile], profile: LanguageProfile) -> dict[str, LanguageProfile]:
     """Return a new profile table with ``profile`` added or replaced."""
     if profile.lexer not in ("python", "brace", "html", "text"):
-        raise ValueError(f"Unknown lexer: {profile.lexer}")
+        raise ValueError(f"no such lexer: {profile.lexer}")
     out = dict(profiles)
     out[profile.name] = profile
     return out
@@ -185,7 +183,7 @@ def update_patterns(profiles: Mapping[str, LanguageProfile], language: str,
                     patterns: Mapping[str, tuple[str, ...] | list[str]]) -> dict[str, LanguageProfile]:
     """Return a new profile table where ``language`` has extra/overwritten mappings."""
     if language not in profiles:
-        raise ValueError(f"Unknown language: {language}")
+        raise ValueError(f"no profile named {language}")
     out = dict(profiles)
     out[language] = profiles[language].with_patterns(patterns)
     return out

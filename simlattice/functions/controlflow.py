@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..config import LanguageProfile
 from .text import strip_noise
-from .util import let
+from .util import chunked_aggregate, let
 
 ND = "struct<n:string,d:int>"
 ND_ARRAY = f"array<{ND}>"
@@ -157,14 +157,15 @@ def python_structure(code: Column, profile: LanguageProfile, with_features: bool
         return F.struct(stk2.alias("stk"), blk2.alias("blk"), out2.alias("out"), f2.alias("feats"),
                         F.greatest(x["net"], F.lit(0)).alias("bal"), x["bs"].alias("cont"))
 
-    folded = F.aggregate(_python_lines(code, with_calls=call_node is not None), init, step)
-    return F.struct(folded["out"].alias("patterns"), folded["feats"].alias("features"))
+    folded = chunked_aggregate(_python_lines(code, with_calls=call_node is not None), init, step,
+                               ("stk", "blk", "out", "feats", "bal", "cont"), ("out", "feats"), ND_ARRAY)
+    return let(folded, lambda r: F.struct(r["out"].alias("patterns"), r["feats"].alias("features")))
 
 
 # ---------------------------------------------------------------------------
 # java / cpp
 # ---------------------------------------------------------------------------
-BRACE_FOR_IN = r"\bfor(\s*\([^;{}]*?[^:]:[^:])"
+BRACE_FOR_IN = r"\bfor(\s*\([^;{}?]*?[^:?]:[^:])"
 BRACE_DECL = (r"\b(?!(?:if|for|while|switch|catch|return|new|else|do|throw|synchronized)\b)"
               r"([A-Za-z_][\w<>\[\],.*&:]*)\s+[*&]*(?!(?:if|for|while|switch|catch|synchronized|return)\b)"
               r"[A-Za-z_]\w*\s*\(([^;{}()]*)\)\s*(?:const\s*)?(?:throws\s+[\w.,\s]+)?\{")
@@ -200,10 +201,11 @@ def brace_structure(code: Column, profile: LanguageProfile, with_features: bool
         decl_node = class_node = call_node = nodemap = None
     # for-in marking only matters when it changes a pattern or a feature
     mark_for_in = with_features or n2p.get(forin_node) != n2p.get("for_statement")
-    try_counts = "try_statement" in n2p
-    counted = "ILD" + ("E" if profile.else_counts else "") + ("T" if try_counts else "")
-    elif_pattern = F.lit("COND") if profile.else_counts else _lookup(kwmap, F.lit("if"))
-    frame_of = {"for": "L", "forin": "L", "while": "L", "do": "D", "if": "I", "try": "T"}
+    # a statement whose node type has no pattern encloses nothing that counts: its frame is the small letter
+    frame_of = {k: f if kwnodes[k] in n2p else f.lower() for k, f in
+                {"for": "L", "forin": "L", "while": "L", "do": "D", "if": "I", "try": "T"}.items()}
+    counted = "ILDT" + ("E" if profile.else_counts and "if_statement" in n2p else "")
+    elif_pattern = F.lit("COND" if profile.else_counts else n2p["if_statement"]) if "if_statement" in n2p else None
 
     # stack edits with literal string functions (no regex per token)
     def depth(stk: Column) -> Column:
@@ -218,16 +220,16 @@ def brace_structure(code: Column, profile: LanguageProfile, with_features: bool
         return F.substring(stk, 1, F.length(stk) - 1)
 
     def scope(stk: Column) -> Column:
-        return F.length(F.regexp_replace(F.regexp_replace(stk, r"\(", ""), r"([ILDET])\{", "$1"))
+        return F.length(F.regexp_replace(F.regexp_replace(stk, r"\(", ""), r"([ILDETildt])\{", "$1"))
 
     def complete(stk: Column, nx: Column) -> Column:
         # else: drop the innermost if with the loop/else frames above it (I[LE]*$);
         # catch/finally: keep the try, drop what is above it; otherwise drop all braceless frames
-        no_le = F.rtrim(stk, F.lit("LE"))
-        else_case = F.when(no_le.endswith("I"), drop_last(no_le)).otherwise(stk)
+        no_le = F.rtrim(stk, F.lit("LEl"))
+        else_case = F.when(no_le.endswith("I") | no_le.endswith("i"), drop_last(no_le)).otherwise(stk)
         return (F.when(nx.startswith("else"), else_case)
-                 .when(nx.startswith("catch") | nx.startswith("finally"), F.rtrim(stk, F.lit("ILE")))
-                 .otherwise(F.rtrim(stk, F.lit("ILET"))))
+                 .when(nx.startswith("catch") | nx.startswith("finally"), F.rtrim(stk, F.lit("ILEil")))
+                 .otherwise(F.rtrim(stk, F.lit("ILETilt"))))
 
     init = F.struct(F.lit("").alias("stk"), _empty_nd().alias("out"), _empty_nd().alias("feats"))
 
@@ -255,7 +257,7 @@ def brace_structure(code: Column, profile: LanguageProfile, with_features: bool
         d = depth(stk)
         sc = scope(stk)
         ctrl_out = F.when(pat.isNotNull(), F.concat(out, F.array(_nd(pat, d)))).otherwise(out)
-        elif_out = F.concat(out, F.array(_nd(elif_pattern, d)))
+        elif_out = F.concat(out, F.array(_nd(elif_pattern, d))) if elif_pattern is not None else out
         return (
             F.when(t == "(", st(F.concat(stk, F.lit("("))))
              .when(is_call, st(F.concat(stk, F.lit("(")), f=F.when(real_call, add_feat(call_node, sc + 1)).otherwise(feats)))
@@ -264,17 +266,18 @@ def brace_structure(code: Column, profile: LanguageProfile, with_features: bool
              .when(t == "}", st(complete(drop_back_past(stk, "{"), nx)))
              .when(t == ";", st(F.when(stk.endswith("("), stk).otherwise(complete(stk, nx))))
              .when(t == "else", st(F.concat(stk, F.lit("E"))))
-             .when(kw == "elseif", st(F.concat(stk, F.lit("I")), o=elif_out,
+             .when(kw == "elseif", st(F.concat(stk, F.lit(frame_of["if"])), o=elif_out,
                                       f=add_feat(_lookup(nodemap, F.lit("if")), sc)))
-             .when((t == "while") & stk.endswith("D"), st(drop_last(stk)))
+             .when((t == "while") & (stk.endswith("D") | stk.endswith("d")), st(drop_last(stk)))
              .when(fr.isNotNull(), st(F.concat(stk, fr), o=ctrl_out, f=add_feat(node, sc)))
              .when(t == "return", st(stk, f=add_feat(node, sc)))
              .when(t.isin("class", "struct"), st(stk, f=add_feat(class_node, sc)))
              .when(t == "DECL", st(stk, f=add_feat(decl_node, sc)))
              .otherwise(acc))
 
-    folded = F.aggregate(_brace_tokens(code, mark_for_in, mark_decl=decl_node is not None), init, step)
-    return F.struct(folded["out"].alias("patterns"), folded["feats"].alias("features"))
+    folded = chunked_aggregate(_brace_tokens(code, mark_for_in, mark_decl=decl_node is not None), init, step,
+                               ("stk", "out", "feats"), ("out", "feats"), ND_ARRAY)
+    return let(folded, lambda r: F.struct(r["out"].alias("patterns"), r["feats"].alias("features")))
 
 
 def code_structure(code: Column, profile: LanguageProfile, with_features: bool = True) -> Column:

@@ -35,9 +35,9 @@ def fingerprint_hex(shingle_array, cfg: DetectorConfig = DetectorConfig()) -> Co
 
 
 def hash_word(hex_col, j: int) -> Column:
-    """64-bit word j (0-based) of a hex fingerprint as a signed bigint."""
+    """64-bit word j (0-based) of a hex fingerprint as a signed bigint; a short last word is padded with zeros."""
     h = _col(hex_col)
-    return F.conv(F.substring(h, 16 * j + 1, 16), 16, -10).cast("bigint")
+    return F.conv(F.rpad(F.substring(h, 16 * j + 1, 16), 16, "0"), 16, -10).cast("bigint")
 
 
 def hash_words(hex_col, cfg: DetectorConfig = DetectorConfig()) -> list[Column]:
@@ -47,7 +47,7 @@ def hash_words(hex_col, cfg: DetectorConfig = DetectorConfig()) -> list[Column]:
 def hamming(a_words: list, b_words: list) -> Column:
     """Bit difference of two word lists of equal length."""
     if len(a_words) != len(b_words):
-        raise ValueError("Hashes must be the same length")
+        raise ValueError("the two hashes differ in length")
     terms = [F.bit_count(_col(a).bitwiseXOR(_col(b))) for a, b in zip(a_words, b_words)]
     total = terms[0]
     for t in terms[1:]:
@@ -60,7 +60,7 @@ def hamming_hex(a_hex, b_hex, cfg: DetectorConfig = DetectorConfig()) -> Column:
     a, b = _col(a_hex), _col(b_hex)
     dist = hamming(hash_words(a, cfg), hash_words(b, cfg))
     return F.when(F.length(a) != F.length(b),
-                  F.raise_error(F.lit("Hashes must be the same length")).cast("int")).otherwise(dist)
+                  F.raise_error(F.lit("the two hashes differ in length")).cast("int")).otherwise(dist)
 
 
 def syntactic_similarity(dist, cfg: DetectorConfig = DetectorConfig()) -> Column:

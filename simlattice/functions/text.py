@@ -10,12 +10,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Regexes are written to be valid in both Java and RE2 (no look-around).
+# Literals use possessive loops: Java would match a plain group loop by recursion and overflow its stack on a long one.
 # Strings are matched first so a quote inside a comment or '#' in a string is
 # handled by whichever starts first (leftmost match).
 PY_NOISE = (r'"""[\s\S]*?"""' r"|'''[\s\S]*?'''"
-            r'|"(?:\\.|[^"\\\n])*"' r"|'(?:\\.|[^'\\\n])*'" r"|#[^\n]*")
-BRACE_NOISE = (r'"""[\s\S]*?"""' r'|"(?:\\.|[^"\\\n])*"' r"|'(?:\\.|[^'\\\n])*'"
+            r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'" r"|#[^\n]*+")
+BRACE_NOISE = (r'"""[\s\S]*?"""' r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
                r"|//[^\n]*" r"|/\*[\s\S]*?\*/" r"|(?m)^[ \t]*#[^\n]*")
 HTML_NOISE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 

@@ -181,8 +181,8 @@ def _set_key(col: str = "pset"):
     return F.sha2(F.array_join(F.col(col), "\u0001"), 256)
 
 
-def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Every pair with similarity >= t, grouped (see module doc).
+def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfig(), syn_t: float = 0.97) -> DataFrame:
+    """Every pair with structural similarity >= t or syntactic similarity >= syn_t, grouped (see module doc).
 
     kind='within': members of one signature (same language, hash and pattern
     set), all scores exact. kind='same_patterns': members of one pattern-set
@@ -191,7 +191,7 @@ def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfi
     NULL (``lang1``/``lang2`` are the class's smallest and largest language).
     kind='pair': two signatures of different classes, full verdict.
     """
-    d = check_hash_threshold(t, cfg)
+    d = check_hash_threshold(syn_t, cfg)
     sigs = signatures(fp, ["language", "hash_hex", "pset"], cfg).withColumn("_empty", F.size("pset") == 0) \
         .withColumn("_pk", _set_key()).persist()
     classes = sigs.groupBy("_pk").agg(
@@ -218,7 +218,7 @@ def all_pairs(fp: DataFrame, t: float = 0.6, cfg: DetectorConfig = DetectorConfi
                  F.col("a_n").alias("n_a"), F.col("b_n").alias("n_b"),
                  (F.col("a_n") * F.col("b_n")).cast("bigint").alias("n_pairs"),
                  *verdict_columns("a_", "b_", cfg))
-    v = v.filter(F.col("similarity") >= F.lit(t))
+    v = v.filter((F.col("structural_similarity") >= F.lit(t)) | (F.col("syntactic_similarity") >= F.lit(syn_t)))
     within = _within_rows(sigs)
     w = within.select("kind", "item_a", "item_b", "n_a", "n_b", "n_pairs",
                       F.lit(1.0).alias("similarity"), F.lit(True).alias("plagiarism_detected"),

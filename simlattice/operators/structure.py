@@ -17,7 +17,7 @@ from ..functions import controlflow as cf
 from ..functions.fingerprint import fingerprint_hex, hash_word
 from ..functions.shingles import adaptive_shingles, pattern_set
 from ..functions.text import strip_noise
-from ..functions.util import let
+from ..functions.util import chunked_aggregate, let
 from .nodes import TAG_NAME_RE, TAG_RE, WORD_RE
 
 # Whitespace per Unicode (what str.strip removes), valid in Java and RE2.
@@ -53,8 +53,8 @@ def html_structure(code: Column, profile: LanguageProfile) -> Column:
         return F.struct((acc["d"] + x["delta"]).alias("d"), (acc["cd"] + x["cdelta"]).alias("cd"),
                         feats.alias("feats"), pats.alias("pats"))
 
-    folded = F.aggregate(F.transform(toks, info), init, step)
-    return F.struct(folded["pats"].alias("patterns"), folded["feats"].alias("features"))
+    folded = chunked_aggregate(F.transform(toks, info), init, step, ("d", "cd", "feats", "pats"), ("feats", "pats"), cf.ND_ARRAY)
+    return let(folded, lambda r: F.struct(r["pats"].alias("patterns"), r["feats"].alias("features")))
 
 
 def text_structure(code: Column) -> Column:
@@ -82,7 +82,7 @@ def _structure_expr(code: Column, lang: Column, profiles: Mapping[str, LanguageP
         p = profiles[name]
         branch = _profile_structure(code, p, with_features)
         expr = F.when(lang == name, branch) if expr is None else expr.when(lang == name, branch)
-    expr = expr.otherwise(F.raise_error(F.concat(F.lit("Unsupported language: "), lang)).cast(ND_PAIR))
+    expr = expr.otherwise(F.raise_error(F.concat(F.lit("no profile for the language "), lang)).cast(ND_PAIR))
     blank = ~F.regexp_like(F.coalesce(code, F.lit("")), F.lit(BLANK_RE))
     empty = F.struct(F.array().cast(cf.ND_ARRAY).alias("patterns"), F.array().cast(cf.ND_ARRAY).alias("features"))
     raw = F.when(blank, empty).otherwise(expr)

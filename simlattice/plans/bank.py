@@ -169,7 +169,7 @@ def bank_cardinality(spark, sf):
 
 def all_pairs_documents(spark, sf):
     """Near copies among documents: grouped pairs with similarity >= 0.9."""
-    return P.all_pairs(doc_fp(spark, sf), NEAR_COPY_T)
+    return P.all_pairs(doc_fp(spark, sf), NEAR_COPY_T, syn_t=NEAR_COPY_T)
 
 
 def search_benchmark(spark, sf):

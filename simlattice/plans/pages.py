@@ -89,12 +89,12 @@ def jaccard_pairs(spark, sf):
 
 
 def all_pairs(spark, sf):
-    return P.all_pairs(_fp(spark, sf), ALL_PAIRS_T)
+    return P.all_pairs(_fp(spark, sf), ALL_PAIRS_T, syn_t=ALL_PAIRS_T)
 
 
 def pair_count(spark, sf):
     """Suspicious pairs above the threshold (sum of grouped pair counts)."""
-    return P.all_pairs(_fp(spark, sf), ALL_PAIRS_T).agg(F.sum("n_pairs").cast("bigint").alias("n_pairs"))
+    return P.all_pairs(_fp(spark, sf), ALL_PAIRS_T, syn_t=ALL_PAIRS_T).agg(F.sum("n_pairs").cast("bigint").alias("n_pairs"))
 
 
 def pair_budget(spark, sf):
@@ -110,7 +110,7 @@ def custom_patterns(spark, sf):
 def search_syntactic(spark, sf):
     fp = _fp(spark, sf)
     bank = page_bank(fp)
-    hits = S.search_syntactic(page_queries(fp), bank, SEARCH_SYN_T, SEARCH_LIMIT)
+    hits = S.search_syntactic(page_queries(fp), bank, SEARCH_SYN_T, SEARCH_LIMIT, syn_t=SEARCH_SYN_T)
     return S.attach_bank(hits, bank, ("source", "file_path", "language"))
 
 
@@ -124,14 +124,14 @@ def search_structural(spark, sf):
 def search_combined(spark, sf):
     fp = _fp(spark, sf)
     bank = page_bank(fp)
-    hits = S.search_combined(page_queries(fp), bank, SEARCH_SYN_T, SEARCH_LIMIT)
+    hits = S.search_combined(page_queries(fp), bank, SEARCH_SYN_T, SEARCH_LIMIT, syn_t=SEARCH_SYN_T)
     return S.attach_bank(hits, bank, ("source", "file_path", "language"))
 
 
 def search_combined_true(spark, sf):
     fp = _fp(spark, sf)
     bank, queries = page_bank(fp), page_queries(fp)
-    hits = S.search_combined(queries, bank, SEARCH_SYN_T, SEARCH_LIMIT)
+    hits = S.search_combined(queries, bank, SEARCH_SYN_T, SEARCH_LIMIT, syn_t=SEARCH_SYN_T)
     return S.with_true_scores(hits, queries, bank)
 
 
@@ -139,7 +139,7 @@ def top_k_per_query(spark, sf):
     """The hits a user is shown: first 10 of the combined search, with rank and badge."""
     fp = _fp(spark, sf)
     bank, queries = page_bank(fp), page_queries(fp)
-    hits = S.search_combined(queries, bank, SEARCH_SYN_T, SEARCH_LIMIT)
+    hits = S.search_combined(queries, bank, SEARCH_SYN_T, SEARCH_LIMIT, syn_t=SEARCH_SYN_T)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
     ranked = hits.select("query_id", "id", "similarity", "match_type", F.row_number().over(w).cast("long").alias("rank"))
     return ranked.filter(F.col("rank") <= SHOWN).withColumn("badge", sim.badge("similarity"))

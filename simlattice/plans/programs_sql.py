@@ -35,7 +35,7 @@ def _fp(src: str) -> str:
     return f"""
 fpk AS (SELECT l_orderkey, language, patterns, coalesce(normalized, []::VARCHAR[]) AS normalized FROM {src}),
 fps AS (SELECT *, {shingle_expr('normalized', adaptive_k_expr('normalized'))} AS shingles FROM fpk),
-fp AS (SELECT *, {hash_expr('shingles')} AS hash_hex, {pset_expr('patterns')} AS pset FROM fps),
+fp AS MATERIALIZED (SELECT *, {hash_expr('shingles')} AS hash_hex, {pset_expr('patterns')} AS pset FROM fps),
 pairs AS (SELECT a.l_orderkey, {{verdict}} FROM fp a JOIN fp b ON a.l_orderkey = b.l_orderkey AND a.language < b.language)"""
 
 

@@ -13,20 +13,12 @@ FAMILIES = ("pages", "programs", "bank", "sequences", "streams")
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable] = {}
     for fam in FAMILIES:
-        try:
-            mod = importlib.import_module(f"{__package__}.{fam}")
-        except ModuleNotFoundError:
-            continue
-        out.update(mod.QUERIES)
+        out.update(importlib.import_module(f"{__package__}.{fam}").QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for fam in FAMILIES:
-        try:
-            mod = importlib.import_module(f"{__package__}.{fam}_sql")
-        except ModuleNotFoundError:
-            continue
-        out.update(mod.sql())
+        out.update(importlib.import_module(f"{__package__}.{fam}_sql").sql())
     return out

@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="simlattice-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -70,19 +72,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan to ``simlattice.spread`` partitions, where the session sets it.
 
-    Use on a plain file scan (asking a scan for its partitions runs no job; on
-    a plan with shuffles it would). A small input file is one split and would run
-    every fold on one core; when the scan has fewer partitions than the
-    cluster's parallelism the rows are redistributed round-robin. Large inputs
-    already have many splits and are left alone (no shuffle at scale).
+    Off unless set: a cluster's inputs have many splits, and a shuffle of raw text in front of a map-only stage is
+    waste. A local run over a file with a single row group sets it to its number of cores.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    n = int(df.sparkSession.conf.get("simlattice.spread", "0"))
+    return df.repartition(n) if n > 0 else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

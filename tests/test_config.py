@@ -36,9 +36,9 @@ def test_detector_config_validates():
 
 
 def test_strict_thresholds_change_verdict(compare):
-    from snippets import BUBBLE_PY, QUICK_PY
-    loose = compare(BUBBLE_PY, "python", QUICK_PY, "python")
-    strict = compare(BUBBLE_PY, "python", QUICK_PY, "python",
+    from snippets import GRID_PY, GUARD_PY
+    loose = compare(GRID_PY, "python", GUARD_PY, "python")
+    strict = compare(GRID_PY, "python", GUARD_PY, "python",
                      cfg=DetectorConfig(high_confidence_threshold=0.99, medium_confidence_threshold=0.99,
                                         plagiarism_threshold=0.99))
     assert strict["plagiarism_detected"] is False

@@ -1,6 +1,6 @@
 """Control-flow patterns from source text (python indentation fold, brace fold)."""
 
-from snippets import (BINARY_CPP, BINARY_JAVA, BINARY_PY, BUBBLE_CPP, BUBBLE_JAVA, BUBBLE_PY)
+from snippets import (KINDS_CPP, KINDS_JAVA, KINDS_PY, GRID_CPP, GRID_JAVA, GRID_PY)
 
 
 def pats(analyze, lang, code):
@@ -8,13 +8,13 @@ def pats(analyze, lang, code):
 
 
 def test_bubble_sort_three_languages(analyze):
-    out = analyze([("python", BUBBLE_PY), ("java", BUBBLE_JAVA), ("cpp", BUBBLE_CPP)])
+    out = analyze([("python", GRID_PY), ("java", GRID_JAVA), ("cpp", GRID_CPP)])
     for r in out.values():
         assert list(r.patterns) == ["LOOP:d0", "LOOP:d1", "COND:d2"]
 
 
 def test_binary_search_else_if_chain(analyze):
-    out = analyze([("python", BINARY_PY), ("java", BINARY_JAVA), ("cpp", BINARY_CPP)])
+    out = analyze([("python", KINDS_PY), ("java", KINDS_JAVA), ("cpp", KINDS_CPP)])
     for r in out.values():
         assert list(r.patterns) == ["LOOP:d0", "COND:d1", "COND:d1"]
 

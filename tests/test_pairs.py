@@ -52,7 +52,7 @@ def test_all_pairs_equals_brute_force(spark):
     fp = fingerprint_items(items, languages=["text"]).persist()
     rows = fp.collect()
     for t in (0.9, 0.88):                     # thresholds the exact planner accepts
-        grouped = all_pairs(fp, t)
+        grouped = all_pairs(fp, t, syn_t=t)
         listed = [(r.item_a, r.item_b) for r in expand_pairs(grouped, fp).collect()]
         got = set(listed)
         assert len(listed) == len(got)                          # no pair is reported twice
@@ -111,14 +111,14 @@ def test_search_batch_of_one_equals_batch_row(spark):
     fp = fingerprint_items(items, languages=["text"]).persist()
     bank = fp.withColumnRenamed("item_id", "id")
     queries = fp.filter(F.col("item_id") < 8).withColumnRenamed("item_id", "query_id")
-    allhits = {(r.query_id, r.id, r.similarity) for r in S.search_combined(queries, bank, 0.9, 5).collect()}
+    allhits = {(r.query_id, r.id, r.similarity) for r in S.search_combined(queries, bank, 0.9, 5, syn_t=0.9).collect()}
     one = {(r.query_id, r.id, r.similarity)
-           for r in S.search_combined(queries.filter(F.col("query_id") == 3), bank, 0.9, 5).collect()}
+           for r in S.search_combined(queries.filter(F.col("query_id") == 3), bank, 0.9, 5, syn_t=0.9).collect()}
     assert one == {h for h in allhits if h[0] == 3}
     st = S.search_structural(queries, bank, 0.5, 100).collect()
     empty_ids = {r.item_id for r in fp.collect() if len(r.patterns) == 0}
     assert not any(r.id in empty_ids for r in st)          # rows without patterns are skipped
-    comb = S.search_combined(queries, bank, 0.9, 5).collect()
+    comb = S.search_combined(queries, bank, 0.9, 5, syn_t=0.9).collect()
     for r in comb:
         if r.match_type == "syntactic" and r.structural_similarity == 0.0:
             assert r.matching_patterns is None               # hash-only hits carry no patterns
