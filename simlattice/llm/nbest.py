@@ -25,7 +25,7 @@ from .common import rows, text_bytes
 from .words import mix, powers
 
 MARK = "▁"
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 BLOCK_WORDS = 8192
 LONG_WORD = 48
 #: Words whose N best paths are remembered between slices.
