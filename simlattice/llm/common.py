@@ -44,10 +44,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return the table read back."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
