@@ -23,11 +23,18 @@ from ..session import ensure_checkpoint_dir, read_table
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Arrow batches end at this size, so Python workers hold little of a partition with long rows; unless the session
+#: sets a size of its own.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+_SPARKS_OWN = "67108864b"
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package's Python files to the executors, once an application (as ``--py-files`` does)."""
+    if spark.conf.get(BATCH[0]) == _SPARKS_OWN:
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

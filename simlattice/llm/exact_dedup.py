@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_bytes
 
 #: Bytes of edge labels a trie may hold before finished subtrees are spilled.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
 _FIELDS = "n_bytes long, content_hash long, body binary, owner long, copies long, owner_rows long"
 
 
