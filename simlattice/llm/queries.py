@@ -42,6 +42,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_ngram_join, with each document's class of equal sets and its number of links."""
+    ship(spark)
+    return ngram_join.ngram_components(documents(spark, sf_dir))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the fixed rules on every page's url."""
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
@@ -86,7 +92,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality, "op2_nearest": op2_nearest, "op3_exact_dedup": op3_exact_dedup,
-    "op4_ngram_join": op4_ngram_join, "op5_url_filter": op5_url_filter, "op6_language": op6_language,
+    "op4_ngram_join": op4_ngram_join, "op4_ngram_links": op4_ngram_links,
+    "op5_url_filter": op5_url_filter, "op6_language": op6_language,
     "op7_token_store": op7_token_store, "op8_nbest": op8_nbest, "op9_mix": op9_mix,
     "op10_suffix_tree": op10_suffix_tree, "pipeline": pipeline,
 }
