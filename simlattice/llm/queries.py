@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import ann, exact_dedup, langid, mixing, nbest, ngram_join, pst, quality, token_store, url_filter
+from . import ann, conversation, exact_dedup, langid, mixing, nbest, ngram_join, pst, quality, token_store, url_filter
 from .common import documents, ship
 
 #: Folder of the public tokenizers' files; a parameter of every query that tokenizes.
@@ -84,6 +84,12 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score_texts(documents(spark, sf_dir))
 
 
+def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its hash of every conversation, after the rule's damage."""
+    ship(spark)
+    return conversation.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents table."""
     import corpus_pipeline
@@ -95,5 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join, "op4_ngram_links": op4_ngram_links,
     "op5_url_filter": op5_url_filter, "op6_language": op6_language,
     "op7_token_store": op7_token_store, "op8_nbest": op8_nbest, "op9_mix": op9_mix,
-    "op10_suffix_tree": op10_suffix_tree, "pipeline": pipeline,
+    "op10_suffix_tree": op10_suffix_tree, "op13_conversation": op13_conversation, "pipeline": pipeline,
 }

@@ -44,5 +44,74 @@ FROM m WHERE nth = 1
 """
 
 
+#: crc32 as SQL: the table of the reflected polynomial 0xEDB88320, then one step a byte (the keys are ASCII).
+CRC = """
+tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(CAST(256 AS BIGINT)) r(i)),
+"""
+
+#: Edits as a walk over grammar states: '' nothing yet, s after the system turn, U after a pair, A after a user turn.
+OP13 = r"""
+WITH RECURSIVE """ + CRC + r"""
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown FROM d),
+f AS (SELECT *, CASE WHEN shown = '' THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (SELECT ids.c, f.i, f.role, f.text, f.turn, f.fault, f.prev, max(f.i) OVER (PARTITION BY ids.c) AS n
+  FROM f JOIN ids ON f.conv_id IS NOT DISTINCT FROM ids.conv_id),
+moves(state, inserted, after) AS (VALUES ('', 0, ''), ('', 1, 'A'), ('', 2, 'U'), ('s', 0, 's'), ('s', 1, 'A'), ('s', 2, 'U'),
+  ('U', 0, 'U'), ('U', 1, 'A'), ('U', 2, 'U'), ('A', 0, 'A'), ('A', 1, 'U'), ('A', 2, 'A')),
+walk(c, i, n, state, cost, audit, body) AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT), n, '', CAST(0 AS BIGINT), '', '' FROM r
+  UNION ALL
+  SELECT c, i, n, state, best.cost, best.audit, best.body FROM (
+    SELECT c, i, n, state, min({'cost': cost, 'audit': audit, 'body': body}) AS best FROM (
+      SELECT w.c, w.i + 1 AS i, w.n, e.state, w.cost + 2 * m.inserted + e.cost AS cost,
+        w.audit || repeat('I', m.inserted) || e.edit AS audit,
+        w.body || CASE WHEN m.inserted = 0 THEN '' WHEN w.state = 'A' THEN chr(10) || 'assistant:'
+            ELSE chr(10) || 'user:' END
+          || CASE WHEN m.inserted < 2 THEN '' WHEN w.state = 'A' THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END
+          || e.line AS body
+      FROM walk w JOIN moves m ON m.state = w.state JOIN r ON r.c = w.c AND r.i = w.i + 1,
+      LATERAL (
+        SELECT m.after AS state, 3 AS cost, 'D' AS edit, '' AS line
+        UNION ALL
+        SELECT CASE WHEN m.after = 'A' THEN 'U' ELSE 'A' END,
+          CASE WHEN left(r.role, 1) = CASE WHEN m.after = 'A' THEN 'a' ELSE 'u' END THEN 0 ELSE 2 END
+            + CASE WHEN r.fault = 't' THEN 1 ELSE 0 END,
+          CASE WHEN left(r.role, 1) = CASE WHEN m.after = 'A' THEN 'a' ELSE 'u' END THEN 'K' ELSE 'R' END,
+          chr(10) || CASE WHEN left(r.role, 1) = CASE WHEN m.after = 'A' THEN 'a' ELSE 'u' END THEN r.role
+            WHEN m.after = 'A' THEN 'assistant' ELSE 'user' END || ':' || r.text
+        WHERE r.fault NOT IN ('b', 'd')
+        UNION ALL
+        SELECT 's', CASE WHEN r.fault = 't' THEN 1 ELSE 0 END, 'K', chr(10) || r.role || ':' || r.text
+        WHERE r.fault NOT IN ('b', 'd') AND m.after = '' AND left(r.role, 1) = 's') e)
+    GROUP BY c, i, n, state)),
+ends AS (SELECT w.c, min({'cost': w.cost + 2 * m.inserted, 'audit': w.audit || repeat('I', m.inserted),
+    'body': w.body || CASE WHEN m.inserted = 0 THEN '' WHEN w.state = 'A' THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' END
+      || CASE WHEN m.inserted < 2 THEN '' WHEN w.state = 'A' THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END}) AS best
+  FROM walk w JOIN moves m ON m.state = w.state WHERE w.i = w.n AND m.after IN ('', 'U') GROUP BY w.c),
+s AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (i > 1 AND prev || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.body, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN ends ON ids.c = ends.c LEFT JOIN s ON ids.c = s.c
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op4_ngram_join": OP4, "op5_url_filter": OP5}
+    return {"op3_exact_dedup": OP3, "op4_ngram_join": OP4, "op5_url_filter": OP5, "op13_conversation": OP13}
