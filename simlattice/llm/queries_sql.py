@@ -44,6 +44,27 @@ FROM m WHERE nth = 1
 """
 
 
+OP12 = r"""
+WITH dw AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS span, unnest(list_transform(range(1, greatest(len(w) - 8, 2)),
+    lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS win FROM iw WHERE len(w) > 0),
+spans AS (SELECT DISTINCT span FROM win),
+dwin AS (SELECT k, span, unnest(range(1, len(w) - span + 2)) AS pos,
+    unnest(list_transform(range(1, len(w) - span + 2), lambda i: array_to_string(w[i:i + span - 1], ' '))) AS win
+  FROM dw, spans WHERE len(w) >= span),
+hit AS (SELECT DISTINCT k, pos, span, item FROM dwin JOIN win USING (span, win)),
+words AS (SELECT k, count(DISTINCT pos + j) AS n_hit FROM (SELECT DISTINCT k, pos, span FROM hit), range(10) r(j)
+  WHERE j < span GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""
+
 #: crc32 as SQL: the table of the reflected polynomial 0xEDB88320, then one step a byte (the keys are ASCII).
 CRC = """
 tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
@@ -114,4 +135,4 @@ FROM ids LEFT JOIN ends ON ids.c = ends.c LEFT JOIN s ON ids.c = s.c
 
 
 def sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op4_ngram_join": OP4, "op5_url_filter": OP5, "op13_conversation": OP13}
+    return {"op3_exact_dedup": OP3, "op4_ngram_join": OP4, "op5_url_filter": OP5, "op12_winnow": OP12, "op13_conversation": OP13}
