@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import ann, conversation, exact_dedup, langid, mixing, nbest, ngram_join, pst, quality, token_store, url_filter, winnow
+from . import ann, collocations, conversation, exact_dedup, langid, mixing, nbest, ngram_join, pst, quality, token_store, url_filter, winnow
 from .common import documents, ship
 
 #: Folder of the public tokenizers' files; a parameter of every query that tokenizes.
@@ -84,6 +84,12 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score_texts(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 strongest phrases."""
+    ship(spark)
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op12_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document under windows of benchmark items, and the items."""
     return winnow.decontaminate(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
@@ -106,5 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join, "op4_ngram_links": op4_ngram_links,
     "op5_url_filter": op5_url_filter, "op6_language": op6_language,
     "op7_token_store": op7_token_store, "op8_nbest": op8_nbest, "op9_mix": op9_mix,
-    "op10_suffix_tree": op10_suffix_tree, "op12_winnow": op12_winnow, "op13_conversation": op13_conversation, "pipeline": pipeline,
+    "op10_suffix_tree": op10_suffix_tree, "op11_collocations": op11_collocations, "op12_winnow": op12_winnow, "op13_conversation": op13_conversation, "pipeline": pipeline,
 }

@@ -44,6 +44,25 @@ FROM m WHERE nth = 1
 """
 
 
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k AS words, unnest(list_transform(range(1, len(w) - k + 2),
+    lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, words, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT c.lang, c.phrase, c.words, c.a, k, l.a AS l, r.a AS r FROM f c JOIN range(1, 5) s(k) ON k < c.words
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')),
+scored AS (SELECT cut.*, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l AS HUGEINT) * r) AS score FROM cut JOIN total USING (lang)),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+kept AS (SELECT * FROM best b WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = b.lang AND q.words > b.words
+  AND 100 * q.a >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 OP12 = r"""
 WITH dw AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -135,4 +154,4 @@ FROM ids LEFT JOIN ends ON ids.c = ends.c LEFT JOIN s ON ids.c = s.c
 
 
 def sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op4_ngram_join": OP4, "op5_url_filter": OP5, "op12_winnow": OP12, "op13_conversation": OP13}
+    return {"op3_exact_dedup": OP3, "op4_ngram_join": OP4, "op5_url_filter": OP5, "op11_collocations": OP11, "op12_winnow": OP12, "op13_conversation": OP13}
