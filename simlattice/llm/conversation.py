@@ -317,29 +317,43 @@ _RESULT = "conv_id long, gaps long, blank long, duplicate long, truncated long,
           "audit string, repaired_sha256 string"
 
 
+def _whole(parts: list[dict]) -> dict:
+    """The result of a conversation from its segments, in order."""
+    total = {k: sum(p[k] for p in parts) for k in ("blank", "duplicate", "truncated", "illegal", "turns")}
+    whole, last = None, None
+    for part in parts:
+        now: Table = {s: {} for s in _STATES}
+        for e in part["entries"]:
+            now[e["start"]][e["end"]] = e["cost"], e["audit"]
+        whole = now if whole is None else compose(whole, now)
+        if last is not None:
+            total["illegal"] += last["last_role"] + part["first_role"] not in ("su", "ua", "au")
+            if part["first_turn"] is not None and part["first_turn"] == last["last_turn"]:
+                total["turns"] -= 1
+        last = part
+    cost, audit = verdict(whole)
+    least = min((p["least"] for p in parts if p["least"] is not None), default=None)
+    most = max((p["most"] for p in parts if p["most"] is not None), default=None)
+    turns = total.pop("turns")
+    return total | {"conv_id": parts[0]["conv_id"], "gaps": 0 if least is None else most - least + 1 - turns,
+                    "cost": cost, "audit": audit, "repaired_sha256": parts[0]["sha"] if len(parts) == 1 else None}
+
+
 def _join(schema: pa.Schema):
-    def run(table: pa.Table) -> pa.Table:
-        parts = sorted(table.to_pylist(), key=lambda r: r["pos"])
-        total = {k: sum(p[k] for p in parts) for k in ("blank", "duplicate", "truncated", "illegal", "turns")}
-        whole, last = None, None
-        for part in parts:
-            now: Table = {s: {} for s in _STATES}
-            for e in part["entries"]:
-                now[e["start"]][e["end"]] = e["cost"], e["audit"]
-            whole = now if whole is None else compose(whole, now)
-            if last is not None:
-                total["illegal"] += last["last_role"] + part["first_role"] not in ("su", "ua", "au")
-                if part["first_turn"] is not None and part["first_turn"] == last["last_turn"]:
-                    total["turns"] -= 1
-            last = part
-        cost, audit = verdict(whole)
-        least = min((p["least"] for p in parts if p["least"] is not None), default=None)
-        most = max((p["most"] for p in parts if p["most"] is not None), default=None)
-        turns = total.pop("turns")
-        gaps = 0 if least is None else most - least + 1 - turns
-        return pa.Table.from_pylist([total | {
-            "conv_id": parts[0]["conv_id"], "gaps": gaps, "cost": cost, "audit": audit,
-            "repaired_sha256": parts[0]["sha"] if len(parts) == 1 else None}], schema)
+    """Results of conversations whose segments follow one another in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, out = [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if parts and parts[0]["conv_id"] != row["conv_id"]:
+                    out.append(_whole(parts))
+                    parts = []
+                parts.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if parts:
+            yield pa.RecordBatch.from_pylist([_whole(parts)], schema)
     return run
 
 
@@ -374,7 +388,8 @@ def repair(conversations: DataFrame, held: int = HELD) -> DataFrame:
     rows = scratch.keep(_ordered(conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"),
                                                       "role", "text")), "ordered")
     segments = rows.mapInArrow(_segments(_schema(_SEGMENT), held), _SEGMENT)
-    found = scratch.keep(segments.groupBy("conv_id").applyInArrow(_join(_schema(_RESULT)), _RESULT), "found")
+    found = scratch.keep(segments.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
+                         .mapInArrow(_join(_schema(_RESULT)), _RESULT), "found")
     open_ = found.filter("repaired_sha256 IS NULL").select(F.col("conv_id").alias("conv"), F.col("audit").alias("edits"))
     again = (rows.join(open_.select("conv"), F.col("conv_id").eqNullSafe(F.col("conv")), "left_semi")
              .select("conv_id", "pos", "role", "text")
