@@ -8,6 +8,10 @@ once, sums the weights of equal words and leaves an arc below ``LEAST`` together
 more frequent. The surviving counts are transducers again, a composition of them with the candidates' parts looks the
 parts' counts up.
 
+A first reading counts words and pairs of words by hash in one sketch of bounded size, which never counts too little. No
+window goes on over a word or pair that the sketch shows to be rare, so rare text is neither sorted nor sent. A full
+sketch would leave all windows as they are: it saves work and changes no count.
+
 Ranges are hashes of the shortest prefix that is not hot; a prefix is hot if it holds more than one range's share of all
 distinct windows. Hot prefixes are found from all slices (a prefix with the share s has s / 2 in slices where it has that
 share, and only such slices report it), so there are at most 2 x 4 x ranges of them. Only a hot prefix's own count is
@@ -36,6 +40,8 @@ from .words import LOWER, mix
 LONGEST = 5
 #: A candidate's least count, and the phrases returned of each language.
 LEAST, TOP = 100, 2000
+#: Counters of the sketch: one for so many bytes of text, so many at least and at most (8 MB of bits), and those of a row.
+CELL_BYTES, FEWEST_BITS, MOST_BITS, _BLOCK = 128, 12, 26, 1 << 18
 NO_LANGUAGE = "und"
 #: Text of a slice and of a range of the union; counted phrases and looked up parts of a range of the composition.
 SLICE_BYTES, RANGE_BYTES, RANGE_ROWS = 6 << 20, 24 << 20, 400_000
@@ -45,7 +51,15 @@ _IS_BREAK, _IS_SEPARATOR = np.zeros(256, bool), np.zeros(256, bool)
 _IS_BREAK[list(_BREAK)] = True
 _IS_SEPARATOR[list(_BREAK + _GAP)] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_ZSTD = pa.Codec("zstd", 1)
+
+
+def _compressed(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _plain(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, size, asbytes=True)
+
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -58,6 +72,9 @@ def _onward(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(prefix * _STEP + word + np.uint64(1))
 
 
+_SKETCH = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("value", pa.binary())])
+
+
 class Vocabulary:
     """Distinct byte strings in byte order; labels are their places from 1 (0 is the end)."""
 
@@ -73,8 +90,8 @@ class Vocabulary:
         return np.concatenate([np.zeros(1, np.uint64), _hashes(self.words.to_pylist())])
 
 
-class Windows:
-    """Distinct windows of a slice in order: ``rows`` (language, words; 0 after the end) and ``weight``."""
+class Tokens:
+    """The words of a slice: ``code`` into ``words``, the piece and the language (label) of each."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -82,32 +99,62 @@ class Windows:
         edge = np.flatnonzero(separator[1:] != separator[:-1]) + 1
         if not separator[0]:
             edge = np.concatenate([[0], edge])
-        start, end = edge[0::2], edge[1::2]
-        piece = np.cumsum(_IS_BREAK[data], dtype=np.int32)[start]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        doc = np.searchsorted(np.cumsum(sizes), start, "right")
-        offsets = np.concatenate([[0], np.cumsum(end - start)])
-        body = LOWER[data[~separator]]
-        del data, separator
+        start, size = edge[0::2], edge[1::2] - edge[0::2]
+        self.piece = np.cumsum(_IS_BREAK[data], dtype=np.int32)[start]
+        doc = np.searchsorted(np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), start, "right")
+        offsets = np.concatenate([[0], np.cumsum(size)])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [
-            None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
-        self.vocabulary = Vocabulary(words)
+            None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(LOWER[data[~separator]].tobytes())])
+        del data, separator, edge, start, size, offsets
+        coded = pc.dictionary_encode(words)
+        self.words, self.code = coded.dictionary, coded.indices.to_numpy()
         self.langs = Vocabulary(pa.array([x.encode() for x in langs], pa.large_binary()))
-        lang = self.langs.labels[doc]
+        self.lang = self.langs.labels[doc]
         #: words of each language, by its label
-        self.totals = np.bincount(lang, minlength=len(self.langs.words) + 1)
-        n = len(start)
-        window = np.zeros((n, 1 + LONGEST), np.int32)
-        window[:, 0] = lang
+        self.totals = np.bincount(self.lang, minlength=len(self.langs.words) + 1)
+
+    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketch's cell of each word and of each word with its successor in the same piece (else -1)."""
+        word = _hashes(self.words.to_pylist())[self.code]
+        one = _onward(self.langs.hashes()[self.lang], word)
+        two = np.full(len(one), -1, np.int64)
+        near = self.piece[1:] == self.piece[:-1]
+        shift = np.uint64(64 - bits)
+        two[:-1][near] = (_onward(one[:-1], word[1:])[near] >> shift).astype(np.int64)
+        return (one >> shift).astype(np.int64), two
+
+
+class Windows:
+    """Distinct windows of a slice in order: ``rows`` (language, words; 0 after the end) and ``weight``.
+
+    A window ends before a word, or a pair of words, whose cell is not set in ``frequent`` (bits in bytes): no phrase with
+    it can be frequent.
+    """
+
+    def __init__(self, tokens: Tokens, frequent: np.ndarray, bits: int):
+        self.langs = tokens.langs
+        one, two = tokens.cells(bits)
+        n, good = len(one), _is_set(frequent, one)
+        link = (two >= 0) & _is_set(frequent, np.maximum(two, 0)) & good
+        link[:-1] &= good[1:]
+        del one, two
+        used, code = np.unique(tokens.code[good], return_inverse=True)
+        self.vocabulary = Vocabulary(tokens.words.take(pa.array(used)))
+        label = np.zeros(n + LONGEST, np.int32)
+        label[:n][good] = self.vocabulary.labels[code]
+        start = np.flatnonzero(good)
+        window = np.zeros((len(start), 1 + LONGEST), np.int32)
+        window[:, 0] = tokens.lang[start]
+        on = np.ones(len(start), bool)
         for j in range(LONGEST):
-            same = piece[j:] == piece[:n - j] if n > j else np.zeros(0, bool)
-            window[:len(same), 1 + j][same] = self.vocabulary.labels[j:][same]
-        order = _order(window)
-        window = window[order]
-        new = np.ones(n, bool)
+            if j:
+                on &= link[np.minimum(start + j - 1, n - 1)] & (start + j < n)
+            window[:, 1 + j] = np.where(on, label[start + j], 0)
+        window = window[_order(window)]
+        new = np.ones(len(window), bool)
         new[1:] = (window[1:] != window[:-1]).any(axis=1)
         first = np.flatnonzero(new)
-        self.rows, self.weight = window[first], np.diff(np.concatenate([first, [n]])).astype(np.int64)
+        self.rows, self.weight = window[first], np.diff(np.concatenate([first, [len(window)]])).astype(np.int64)
 
     def prefixes(self) -> Iterator[np.ndarray]:
         """For each prefix length from 1 the prefix's hash of every window."""
@@ -118,6 +165,10 @@ class Windows:
             yield now
 
 
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _order(window: np.ndarray) -> np.ndarray:
     """Places of the rows in lexicographic order, by as few keys as fit into 64 bits."""
     keys, now, used = [], np.zeros(len(window), np.uint64), 0
@@ -222,11 +273,11 @@ def pack(levels: list[Level], langs: pa.Array, words: pa.Array) -> bytes:
         out += [np.diff(level.first).astype(np.int32).tobytes(), label.astype(np.int32).tobytes(),
                 level.weight.astype(np.int64).tobytes(), level.target.astype(np.int32).tobytes()]
     body = b"".join(out)
-    return struct.pack("<q", len(body)) + _ZSTD.compress(body, asbytes=True)
+    return struct.pack("<q", len(body)) + _compressed(body)
 
 
 def unpack(value: bytes) -> tuple[list[Level], pa.Array, pa.Array]:
-    data = _ZSTD.decompress(value[8:], struct.unpack_from("<q", value)[0], asbytes=True)
+    data = _plain(value[8:], struct.unpack_from("<q", value)[0])
     langs, at = _unpacked(data, 0)
     words, at = _unpacked(data, at)
     levels = []
@@ -330,42 +381,84 @@ def union(values: list[bytes], hot: np.ndarray, least: int) -> Iterator[tuple[st
         prefix, text = here[keep], texts
 
 
-def _slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[Windows]:
+def _slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[Tokens]:
     for other, texts in rows(batches, max_bytes):
-        found = Windows(texts, other["lang"])
-        if len(found.rows):
+        found = Tokens(texts, other["lang"])
+        if len(found.code):
             yield found
 
 
-def _report(parts: int, max_bytes: int):
-    """Words of each language, and the windows of every prefix that may be hot."""
+def _sketch(bits: int, max_bytes: int):
+    """Counts of words and pairs of words by cell (at most 255), in blocks; and the words of each language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, totals = np.zeros(1 << bits, np.uint8), {}
+        for t in _slices(batches, max_bytes):
+            for found in t.cells(bits):
+                at, count = np.unique(found[found >= 0], return_counts=True)
+                cells[at] = np.minimum(cells[at] + count, 255)
+            for name, n in zip(t.langs.words.to_pylist(), t.totals[1:].tolist()):
+                totals[name.decode()] = totals.get(name.decode(), 0) + n
+        size = min(_BLOCK, len(cells))
+        for k in range(0, len(cells), size):
+            if (block := cells[k:k + size]).any():
+                yield pa.RecordBatch.from_pylist([{"lang": None, "block": k // size, "n": 0, "value": _compressed(block.tobytes())}], _SKETCH)
+        if totals:
+            yield pa.RecordBatch.from_pylist([{"lang": x, "block": None, "n": n, "value": None}
+                                              for x, n in totals.items()], _SKETCH)
+    return run
+
+
+def _frequent(least: int, size: int):
+    """Bits of the cells that reach ``least`` in the sum of a block's rows, which follow one another."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array(
+                [np.packbits(total >= min(least, 255)).tobytes()], pa.binary())], ["block", "bits"])
+
+        for batch in batches:
+            for at, value in zip(batch.column("block").to_pylist(), batch.column("value").to_pylist()):
+                if at != block:
+                    if total is not None:
+                        yield result()
+                    block, total = at, np.zeros(size, np.uint16)
+                total = np.minimum(total + np.frombuffer(_plain(value, size), np.uint8), 255)
+        if total is not None:
+            yield result()
+    return run
+
+
+def _report(frequent, bits: int, parts: int, max_bytes: int):
+    """The number of windows (prefix 0) and of those of every prefix that may be hot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w in _slices(batches, max_bytes):
+        for t in _slices(batches, max_bytes):
+            w = Windows(t, frequent.value, bits)
             least = max(2, len(w.rows) // (2 * parts))
             keys, sizes = [np.zeros(1, np.uint64)], [np.array([len(w.rows)])]
             for j, prefix in enumerate(w.prefixes(), 1):
-                if j < LONGEST:
+                if j < LONGEST and len(prefix):
                     new = np.ones(len(prefix), bool)
                     new[1:] = prefix[1:] != prefix[:-1]
                     first = np.flatnonzero(new)
                     size = np.diff(np.concatenate([first, [len(prefix)]]))
                     keys.append(prefix[first][size >= least])
                     sizes.append(size[size >= least])
-            langs, totals = [x.decode() for x in w.langs.words.to_pylist()], w.totals[1:].tolist()
-            n = sum(map(len, keys))
             yield pa.RecordBatch.from_arrays([
-                pa.array(langs + [None] * n, pa.string()),
-                pa.array([0] * len(langs) + np.concatenate(keys).view(np.int64).tolist(), pa.int64()),
-                pa.array(totals + np.concatenate(sizes).tolist(), pa.int64())], ["lang", "prefix", "size"])
+                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64))],
+                ["prefix", "size"])
     return run
 
 
-def _transducers(hot: np.ndarray, parts: int, max_bytes: int):
+def _transducers(frequent, bits: int, hot: np.ndarray, parts: int, max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w in _slices(batches, max_bytes):
-            cut = ranges(w, hot, parts)
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int64()),
-                                              pa.array([v for _, v in cut], pa.binary())], ["part", "value"])
+        for t in _slices(batches, max_bytes):
+            w = Windows(t, frequent.value, bits)
+            del t
+            if len(w.rows):
+                cut = ranges(w, hot, parts)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int64()),
+                                                  pa.array([v for _, v in cut], pa.binary())], ["part", "value"])
     return run
 
 
@@ -435,16 +528,29 @@ def count_phrases(documents: DataFrame, scratch: Scratch, least: int = LEAST, la
                             text_bytes(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = tasks_for(size, range_bytes)
-    report = scratch.keep(docs.mapInArrow(_report(parts, slice_bytes), "lang string, prefix long, size long")
-                          .groupBy("lang", "prefix").agg(F.sum("size").alias("size")), "report")
-    totals = report.filter("lang IS NOT NULL").select("lang", F.col("size").alias("n"))
-    prefixes = report.filter("lang IS NULL")
-    windows = prefixes.filter("prefix = 0").agg(F.max("size")).first()[0] or 0
-    # at most 2 x 4 x parts prefixes, eight bytes each
-    hot = np.sort(np.array([r.prefix for r in prefixes.filter(
-        (F.col("prefix") != 0) & (F.col("size") > windows / (2 * parts))).select("prefix").toLocalIterator()],
-        np.int64).view(np.uint64)) if parts > 1 else np.zeros(0, np.uint64)
-    cut = docs.mapInArrow(_transducers(hot, parts, slice_bytes), "part long, value binary")
+    bits = min(MOST_BITS, max(FEWEST_BITS, (size // CELL_BYTES).bit_length()))
+    spark, block = documents.sparkSession, min(_BLOCK, 1 << bits)
+    sketch = scratch.keep(docs.mapInArrow(_sketch(bits, slice_bytes), "lang string, block long, n long, value binary"),
+                          "sketch")
+    totals = scratch.keep(sketch.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    for r in (sketch.filter("block IS NOT NULL").select("block", "value").repartition("block")
+              .sortWithinPartitions("block").mapInArrow(_frequent(least, block), "block long, bits binary").collect()):
+        bitmap[r.block * block // 8:(r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
+    scratch.drop("sketch")
+    frequent = spark.sparkContext.broadcast(bitmap)
+    prefixes = (docs.mapInArrow(_report(frequent, bits, parts, slice_bytes), "prefix long, size long")
+                .groupBy("prefix").agg(F.sum("size").alias("size")))
+    if parts > 1:
+        prefixes = scratch.keep(prefixes, "prefixes")
+        windows = prefixes.filter("prefix = 0").agg(F.max("size")).first()[0] or 0
+        # at most 2 x 4 x parts prefixes, eight bytes each
+        hot = np.array([r.prefix for r in prefixes.filter(
+            (F.col("prefix") != 0) & (F.col("size") > windows / (2 * parts))).select("prefix").collect()], np.int64)
+    else:
+        hot = np.zeros(0, np.int64)
+    hot = np.sort(hot.view(np.uint64))
+    cut = docs.mapInArrow(_transducers(frequent, bits, hot, parts, slice_bytes), "part long, value binary")
     counts = scratch.keep(cut.groupBy("part").applyInArrow(_union(hot, least), _COUNTS), "partial")
     summed = (counts.filter("partial").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
               .filter(F.col("count") >= least))

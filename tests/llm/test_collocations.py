@@ -66,8 +66,12 @@ def frame(spark, docs):
                                  "doc_id long, text string, lang string, count long, phrase string")
 
 
-@pytest.mark.parametrize("sizes", [{}, {"slice_bytes": 2000, "range_bytes": 1500, "range_rows": 100}])
-def test_collocations(spark, sizes):
+@pytest.mark.parametrize("sizes", [{}, {"slice_bytes": 2000, "range_bytes": 1500, "range_rows": 100}, {"bits": 4}])
+def test_collocations(spark, sizes, monkeypatch):
+    sizes = dict(sizes)
+    if bits := sizes.pop("bits", None):  # a full sketch
+        monkeypatch.setattr(C, "FEWEST_BITS", bits)
+        monkeypatch.setattr(C, "MOST_BITS", bits)
     docs = corpus(3)
     out = C.collocations(frame(spark, docs), least=8, top=60, **sizes).collect()
     assert {tuple(r) for r in out} == expected(docs, 8, 60)
@@ -82,7 +86,8 @@ def test_none(spark):
 
 def test_transducers():
     docs = corpus(8)
-    slices = [C.Windows([lower(t).encode() for _, t in docs[k::5]], [lang or "und" for lang, _ in docs[k::5]]) for k in range(5)]
+    tokens = [C.Tokens([lower(t).encode() for _, t in docs[k::5]], [lang or "und" for lang, _ in docs[k::5]]) for k in range(5)]
+    slices = [C.Windows(t, np.full(512, 255, np.uint8), 12) for t in tokens]
     want, _ = counted(docs)
     for parts, hot in ((1, np.zeros(0, np.uint64)), (7, None)):
         if hot is None:  # all prefixes of one and two words that start 300 windows
