@@ -8,8 +8,8 @@ once, sums the weights of equal words and leaves an arc below ``LEAST`` together
 more frequent. The surviving counts are transducers again, a composition of them with the candidates' parts looks the
 parts' counts up.
 
-A first reading counts words and pairs of words by hash in one sketch of bounded size, which never counts too little. No
-window goes on over a word or pair that the sketch shows to be rare, so rare text is neither sorted nor sent. A full
+A first reading counts words, pairs and triples by hash in one sketch of bounded size, which never counts too little. No
+window goes on over one that the sketch shows to be rare, so rare text is neither sorted nor sent. A full
 sketch would leave all windows as they are: it saves work and changes no count.
 
 Ranges are hashes of the shortest prefix that is not hot; a prefix is hot if it holds more than one range's share of all
@@ -40,8 +40,10 @@ from .words import LOWER, mix
 LONGEST = 5
 #: A candidate's least count, and the phrases returned of each language.
 LEAST, TOP = 100, 2000
-#: Counters of the sketch: one for so many bytes of text, so many at least and at most (8 MB of bits), and those of a row.
-CELL_BYTES, FEWEST_BITS, MOST_BITS, _BLOCK = 128, 12, 26, 1 << 18
+#: Counters of the sketch: one for so many bytes of text, so many at least and at most (16 MB of bits), and those of a row.
+CELL_BYTES, FEWEST_BITS, MOST_BITS, _BLOCK = 64, 12, 27, 1 << 18
+#: Words of the longest n-grams that the sketch counts.
+SKETCHED = 3
 NO_LANGUAGE = "und"
 #: Text of a slice and of a range of the union; counted phrases and looked up parts of a range of the composition.
 SLICE_BYTES, RANGE_BYTES, RANGE_ROWS = 6 << 20, 24 << 20, 400_000
@@ -54,7 +56,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _compressed(data: bytes) -> bytes:
-    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+    return pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
 def _plain(data: bytes, size: int) -> bytes:
@@ -113,31 +115,31 @@ class Tokens:
         #: words of each language, by its label
         self.totals = np.bincount(self.lang, minlength=len(self.langs.words) + 1)
 
-    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sketch's cell of each word and of each word with its successor in the same piece (else -1)."""
+    def cells(self, bits: int) -> list[np.ndarray]:
+        """The sketch's cells of each word alone, with its successor and with two successors (-1 beyond the piece)."""
         word = _hashes(self.words.to_pylist())[self.code]
-        one = _onward(self.langs.hashes()[self.lang], word)
-        two = np.full(len(one), -1, np.int64)
-        near = self.piece[1:] == self.piece[:-1]
-        shift = np.uint64(64 - bits)
-        two[:-1][near] = (_onward(one[:-1], word[1:])[near] >> shift).astype(np.int64)
-        return (one >> shift).astype(np.int64), two
+        prefix, out, n = self.langs.hashes()[self.lang], [], len(self.code)
+        for j in range(SKETCHED):
+            # prefixes at the end of the slice, whose words are missing, are cut off
+            prefix = _onward(prefix[:n - j], word[j:])
+            cell = np.full(n, -1, np.int64)
+            near = self.piece[j:] == self.piece[:n - j]
+            cell[:n - j][near] = (prefix[near] >> np.uint64(64 - bits)).astype(np.int64)
+            out.append(cell)
+        return out
 
 
 class Windows:
     """Distinct windows of a slice in order: ``rows`` (language, words; 0 after the end) and ``weight``.
 
-    A window ends before a word, or a pair of words, whose cell is not set in ``frequent`` (bits in bytes): no phrase with
+    A window ends before a word, pair or triple whose cell is not set in ``frequent`` (bits in bytes): no phrase with
     it can be frequent.
     """
 
     def __init__(self, tokens: Tokens, frequent: np.ndarray, bits: int):
         self.langs = tokens.langs
-        one, two = tokens.cells(bits)
-        n, good = len(one), _is_set(frequent, one)
-        link = (two >= 0) & _is_set(frequent, np.maximum(two, 0)) & good
-        link[:-1] &= good[1:]
-        del one, two
+        known = [(cell >= 0) & _is_set(frequent, np.maximum(cell, 0)) for cell in tokens.cells(bits)]
+        good, n = known[0], len(known[0])
         used, code = np.unique(tokens.code[good], return_inverse=True)
         self.vocabulary = Vocabulary(tokens.words.take(pa.array(used)))
         label = np.zeros(n + LONGEST, np.int32)
@@ -147,8 +149,9 @@ class Windows:
         window[:, 0] = tokens.lang[start]
         on = np.ones(len(start), bool)
         for j in range(LONGEST):
-            if j:
-                on &= link[np.minimum(start + j - 1, n - 1)] & (start + j < n)
+            # the word, and the pair and the triple that end with it
+            for k in range(min(j + 1, SKETCHED)):
+                on &= (start + j < n) & known[k][np.minimum(start + j - k, n - 1)]
             window[:, 1 + j] = np.where(on, label[start + j], 0)
         window = window[_order(window)]
         new = np.ones(len(window), bool)
@@ -266,19 +269,23 @@ def _unpacked(data: bytes, at: int) -> tuple[pa.Array, int]:
 def pack(levels: list[Level], langs: pa.Array, words: pa.Array) -> bytes:
     """A transducer with the words on its arcs as one compressed value."""
     used = np.unique(np.concatenate([level.label for level in levels[1:]]))
-    out = [_packed(langs), _packed(words.take(pa.array(used - 1)))]
+    wide = max(int(level.weight.max(initial=0)) for level in levels) >> 31 > 0
+    out = [b"\x01" if wide else b"\0", _packed(langs), _packed(words.take(pa.array(used - 1)))]
     for k, level in enumerate(levels):
         label = level.label if k == 0 else np.searchsorted(used, level.label) + 1
         out.append(struct.pack("<qq", len(level.first) - 1, len(label)))
-        out += [np.diff(level.first).astype(np.int32).tobytes(), label.astype(np.int32).tobytes(),
-                level.weight.astype(np.int64).tobytes(), level.target.astype(np.int32).tobytes()]
+        # labels and targets mostly rise: their differences compress well
+        out += [np.diff(level.first).astype(np.int32).tobytes(), np.diff(label, prepend=0).astype(np.int32).tobytes(),
+                level.weight.astype(np.int64 if wide else np.int32).tobytes(),
+                np.diff(level.target, prepend=0).astype(np.int32).tobytes()]
     body = b"".join(out)
     return struct.pack("<q", len(body)) + _compressed(body)
 
 
 def unpack(value: bytes) -> tuple[list[Level], pa.Array, pa.Array]:
     data = _plain(value[8:], struct.unpack_from("<q", value)[0])
-    langs, at = _unpacked(data, 0)
+    kind = np.int64 if data[0] else np.int32
+    langs, at = _unpacked(data, 1)
     words, at = _unpacked(data, at)
     levels = []
     for _ in range(1 + LONGEST):
@@ -286,10 +293,11 @@ def unpack(value: bytes) -> tuple[list[Level], pa.Array, pa.Array]:
         at += 16
         size = np.frombuffer(data, np.int32, states, at)
         at += 4 * states
-        label = np.frombuffer(data, np.int32, arcs, at)
-        weight = np.frombuffer(data, np.int64, arcs, at + 4 * arcs)
-        target = np.frombuffer(data, np.int32, arcs, at + 12 * arcs)
-        at += 16 * arcs
+        label = np.cumsum(np.frombuffer(data, np.int32, arcs, at), dtype=np.int32)
+        weight = np.frombuffer(data, kind, arcs, at + 4 * arcs).astype(np.int64)
+        at += 4 * arcs + kind().itemsize * arcs
+        target = np.cumsum(np.frombuffer(data, np.int32, arcs, at), dtype=np.int32)
+        at += 4 * arcs
         levels.append(Level(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), label, weight, target))
     return levels, langs, words
 
@@ -389,7 +397,7 @@ def _slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[Token
 
 
 def _sketch(bits: int, max_bytes: int):
-    """Counts of words and pairs of words by cell (at most 255), in blocks; and the words of each language."""
+    """Counts of words, pairs and triples by cell (at most 255), in blocks; and the words of each language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, totals = np.zeros(1 << bits, np.uint8), {}
         for t in _slices(batches, max_bytes):
