@@ -42,8 +42,8 @@ def _st_hits(t: float, limit: int, name: str = "st") -> str:
      FROM {name}_all WHERE similarity >= {t}) WHERE rn <= {limit})"""
 
 
-def _combined(t: float, limit: int) -> str:
-    return _syn_hits(t, 2 * limit) + "," + _st_hits(t, 2 * limit) + f""",
+def _combined(t: float, limit: int, syn_t: float | None = None) -> str:
+    return _syn_hits(t if syn_t is None else syn_t, 2 * limit) + "," + _st_hits(t, 2 * limit) + f""",
 m AS (SELECT coalesce(syn.query_id, st.query_id) AS query_id, coalesce(syn.id, st.id) AS id,
        coalesce(syn.similarity, 0.0) AS syntactic_similarity, coalesce(st.similarity, 0.0) AS structural_similarity,
        CASE WHEN st.similarity IS NOT NULL AND (syn.similarity IS NULL OR st.similarity > syn.similarity)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("pages", "programs", "bank", "sequences", "streams")
+FAMILIES = ("pages", "programs", "bank", "sequences", "streams", "store")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
