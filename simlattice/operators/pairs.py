@@ -123,12 +123,24 @@ def hash_candidates(left: DataFrame, key: str, hex_col: str, d: int, right: Data
 
 
 def _ranked_prefix(sets: DataFrame, freq: DataFrame, t: float) -> DataFrame:
-    """(k, n, tok) for the prefix tokens of each set in the global rare-first order."""
+    """(k, n, tok, r) for the prefix tokens of each set in the global rare-first order; r is the token's place."""
     tok = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("tok"))
     ranked = tok.join(freq, "tok")
     w = Window.partitionBy("k").orderBy("df", "tok")
     p = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(EPS)) + 1
-    return ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= p).select("k", "n", "tok")
+    return ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= p).select("k", "n", "tok", "r")
+
+
+def _may_reach(l: str, r: str, t: float) -> Column:
+    """Whether sets that meet first at places ``l.r`` and ``r.r`` may have Jaccard >= t (size and positional bounds).
+
+    The first shared token of two sets leaves at most 1 + min(n - r) shared tokens, and the overlap must reach
+    t / (1 + t) of both sizes.
+    """
+    nl, nr = F.col(f"{l}.n"), F.col(f"{r}.n")
+    left = F.least(nl - F.col(f"{l}.r"), nr - F.col(f"{r}.r")) + 1
+    return ((nr >= nl * F.lit(t) - F.lit(EPS)) & (nr * F.lit(t) - F.lit(EPS) <= nl)
+            & (left >= (nl + nr) * F.lit(t / (1 + t)) - F.lit(EPS)))
 
 
 def set_candidates(left: DataFrame, key: str, set_col: str, t: float, right: DataFrame | None = None) -> DataFrame:
@@ -141,14 +153,49 @@ def set_candidates(left: DataFrame, key: str, set_col: str, t: float, right: Dat
     freq = both.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     lp = _ranked_prefix(ls, freq, t).alias("l")
     rp = (lp if right is None else _ranked_prefix(rs, freq, t)).alias("r")
-    cond = [F.col("l.tok") == F.col("r.tok"),
-            F.col("r.n") >= F.col("l.n") * F.lit(t) - F.lit(EPS),
-            F.col("r.n") * F.lit(t) - F.lit(EPS) <= F.col("l.n")]
+    cond = [F.col("l.tok") == F.col("r.tok"), _may_reach("l", "r", t)]
     if right is None:
         cond.append(F.col("l.k") < F.col("r.k"))
     return lp.join(rp, cond).select(F.col("l.k").alias("k_l"), F.col("r.k").alias("k_r")).distinct()
 
 
+def cross_language_pairs(fp: DataFrame, t: float = 0.6) -> DataFrame:
+    """Pairs of items in different languages with structural similarity >= t, without any key that links them.
+
+    Items of one language with one pattern set are one class; a row is a pair of classes (lang1 < lang2):
+    ``lang1, lang2, item_a, item_b`` (smallest ids), ``n_a, n_b, n_pairs``, ``structural_similarity`` and
+    ``matching_patterns``. Items without patterns take no part. A prefix token is listed once for every other language
+    that has sets, so only blocks of two different languages meet; sets of one language never do. AQE splits the blocks
+    of a hot token, the keys have no other gathering.
+    """
+    if not t > 0:
+        raise ValueError("cross-language pairs need a positive threshold")
+    classes = (fp.filter(F.size("pset") > 0).groupBy("language", "pset")
+               .agg(F.min("item_id").alias("k"), F.count(F.lit(1)).alias("members")))
+    sets = classes.select("k", F.col("pset").alias("s"))
+    freq = sets.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # the languages there are: one row, bounded by the profiles
+    known = classes.agg(F.array_sort(F.collect_set("language"))).scalar()
+    prefix = _ranked_prefix(sets, freq, t).join(classes.select("k", "language"), "k")
+    prefix = prefix.withColumn("known", known).withColumn(
+        "other", F.explode(F.filter("known", lambda x: x != F.col("language"))))
+    low = prefix.filter(F.col("language") < F.col("other")).alias("l")
+    high = prefix.filter(F.col("language") > F.col("other")).alias("r")
+    met = low.join(high, [F.col("l.tok") == F.col("r.tok"), F.col("l.language") == F.col("r.other"),
+                          F.col("l.other") == F.col("r.language"), _may_reach("l", "r", t)])
+    met = met.select(F.col("l.k").alias("k_l"), F.col("r.k").alias("k_r")).distinct()
+    a = classes.select(F.col("k").alias("k_l"), F.col("language").alias("lang1"), F.col("pset").alias("a_pset"),
+                       F.col("members").alias("n_a"))
+    b = classes.select(F.col("k").alias("k_r"), F.col("language").alias("lang2"), F.col("pset").alias("b_pset"),
+                       F.col("members").alias("n_b"))
+    inter, union = sim.jaccard_counts("a_pset", "b_pset")
+    return met.join(a.hint("merge"), "k_l").join(b.hint("merge"), "k_r").select(
+        "lang1", "lang2", F.col("k_l").alias("item_a"), F.col("k_r").alias("item_b"), "n_a", "n_b",
+        (F.col("n_a") * F.col("n_b")).alias("n_pairs"), sim.store_jaccard(inter, union).alias("structural_similarity"),
+        F.array_sort(F.array_intersect("a_pset", "b_pset")).alias("matching_patterns")).filter(
+        F.col("structural_similarity") >= F.lit(t))
+
+
 def signatures(fp: DataFrame, by: list[str], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """One row per distinct value of ``by``: rep (smallest item id), member count, payload."""
     payload = [c for c in ["language", "pset", "hash_hex"] + [f"h{j}" for j in range(cfg.hash_words)]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import programs as P
-from .oracle_sql import adaptive_k_expr, hash_expr, pset_expr, shingle_expr, verdict_select, with_
+from .oracle_sql import (adaptive_k_expr, hash_expr, inter_expr, pset_expr, shingle_expr, union_expr, verdict_select,
+                         with_)
 
 LI = """
 li AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'LOOP' ELSE 'COND' END AS kind, l_linestatus AS ls,
@@ -34,15 +35,24 @@ chain_l AS (SELECT r.l_orderkey, lg.language,
 def _fp(src: str) -> str:
     return f"""
 fpk AS (SELECT l_orderkey, language, patterns, coalesce(normalized, []::VARCHAR[]) AS normalized FROM {src}),
-fps AS (SELECT *, {shingle_expr('normalized', adaptive_k_expr('normalized'))} AS shingles FROM fpk),
-fp AS MATERIALIZED (SELECT *, {hash_expr('shingles')} AS hash_hex, {pset_expr('patterns')} AS pset FROM fps),
+fps AS MATERIALIZED (SELECT *, {shingle_expr('normalized', adaptive_k_expr('normalized'))} AS shingles,
+       {pset_expr('patterns')} AS pset FROM fpk),
+digest AS MATERIALIZED (SELECT shingles, {hash_expr('shingles')} AS hash_hex FROM (SELECT DISTINCT shingles FROM fps)),
+fp AS MATERIALIZED (SELECT fps.*, hash_hex FROM fps JOIN digest USING (shingles)),
 pairs AS (SELECT a.l_orderkey, {{verdict}} FROM fp a JOIN fp b ON a.l_orderkey = b.l_orderkey AND a.language < b.language)"""
 
 
-def _pairs(shape: str, **cfg) -> str:
+#: What the verdict rests on.
+DEBUG = """, a.patterns AS patterns1, b.patterns AS patterns2,
+       CASE WHEN len(a.patterns) > 0 AND len(b.patterns) > 0 THEN a.pset END AS shingles1,
+       CASE WHEN len(a.patterns) > 0 AND len(b.patterns) > 0 THEN b.pset END AS shingles2,
+       CASE WHEN len(a.patterns) > 0 AND len(b.patterns) > 0 THEN list_sort(list_intersect(a.pset, b.pset)) END AS intersection"""
+
+
+def _pairs(shape: str, more: str = "", **cfg) -> str:
     src = "nested_l" if shape == "nested" else "chain_l"
     body = NESTED if shape == "nested" else CHAIN
-    return with_(LI, body, _fp(src).replace("{verdict}", verdict_select("a", "b", **cfg)))
+    return with_(LI, body, _fp(src).replace("{verdict}", verdict_select("a", "b", **cfg) + more))
 
 
 VCOLS = ", ".join(P.VERDICT_COLS)
@@ -62,7 +72,16 @@ def sql() -> dict[str, str]:
                                                   "WHERE language IN ('java', 'cpp')",
         "strip_noise": with_(LI, NESTED) + "SELECT l_orderkey, language, patterns FROM nested_l",
         "else_if_chain": with_(LI, CHAIN) + "SELECT l_orderkey, language, patterns FROM chain_l",
-        "compare_pairs": _pairs("nested") + f"SELECT l_orderkey, {VCOLS} FROM pairs",
+        "compare_pairs": _pairs("nested", DEBUG) + f"""SELECT l_orderkey, {VCOLS}, patterns1, patterns2, shingles1, shingles2,
+       intersection FROM pairs""",
+        "cross_language_search": _pairs("chain") + f""",
+cls AS (SELECT language, pset, min(l_orderkey * 4 + list_position(['python', 'java', 'cpp'], language) - 1) AS k,
+       count(*) AS n FROM fp WHERE len(pset) > 0 GROUP BY language, pset),
+sc AS (SELECT a.language AS lang1, b.language AS lang2, a.k AS item_a, b.k AS item_b, a.n AS n_a, b.n AS n_b,
+       a.n * b.n AS n_pairs, {inter_expr('a.pset', 'b.pset')}::DOUBLE / {union_expr('a.pset', 'b.pset')}::DOUBLE AS structural_similarity,
+       list_sort(list_intersect(a.pset, b.pset)) AS matching_patterns
+     FROM cls a JOIN cls b ON a.language < b.language)
+SELECT * FROM sc WHERE structural_similarity >= {P.CROSS_T}""",
         "cross_language_pairs": _pairs("chain") + f"SELECT l_orderkey, {VCOLS} FROM pairs",
         "similarity_matrix": _pairs("chain") + f""",
 lng AS (SELECT l_orderkey, lang1 AS name, lang2 AS other, similarity FROM pairs
