@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..config import DetectorConfig
 from ..functions import similarity as sim
 from ..functions.fingerprint import hamming, syntactic_similarity
-from ..session import cut_lineage
+from ..session import kept_table
 
 EPS = 1e-9
 
@@ -172,8 +172,8 @@ def cross_language_pairs(fp: DataFrame, t: float = 0.6) -> DataFrame:
     if not t > 0:
         raise ValueError("cross-language pairs need a positive threshold")
     # read six times below, so the fingerprints behind it are computed once
-    classes = cut_lineage(fp.filter(F.size("pset") > 0).groupBy("language", "pset")
-                          .agg(F.min("item_id").alias("k"), F.count(F.lit(1)).alias("members")))
+    classes = kept_table(fp.filter(F.size("pset") > 0).groupBy("language", "pset")
+                         .agg(F.min("item_id").alias("k"), F.count(F.lit(1)).alias("members")), "classes")
     sets = classes.select("k", F.col("pset").alias("s"))
     freq = sets.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     # the languages there are: one row, bounded by the profiles
