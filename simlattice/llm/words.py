@@ -33,14 +33,25 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
 
+#: Powers that a worker keeps (16 MB); longer slices compute theirs and give the memory back.
+_KEPT = 1 << 20
+
+
+def _steps(size: int) -> list[np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, out=steps))
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
+    if n > _KEPT:
+        return tuple(_steps(n))
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
+        _POWERS[:] = _steps(_KEPT)
     return _POWERS[0], _POWERS[1]
 
 
