@@ -63,6 +63,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_row(df: DataFrame):
+    """All columns of ``df`` as one value, so that columns put beside it cannot clash with names of the input."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_bytes
+from .common import Scratch, text_bytes, whole_row
 
 #: Bytes of edge labels a trie may hold before finished subtrees are spilled.
 TRIE_BYTES = 16 << 20
@@ -184,15 +184,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``docs`` (all its columns) whose identifier owns their text; one row per text stays.
 
-    Where the owner's identifier itself is repeated with the same text, one of those rows stays.
+    Where the owner's identifier itself is repeated with the same text, the row that is smallest as JSON stays, so reruns
+    agree. A null text counts as empty, the empty text is a text like any other; null identifiers own only where a whole
+    group has none; columns may have any name; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     own = scratch.keep(exact_groups(docs, id_col, text_col, keep).select(
-        F.col("owner").alias("__owner"), F.col("text_sha256").alias("__sha"), F.col("owner_rows").alias("__rows")), "own")
-    marked = docs.withColumn("__sha_of_row", F.sha2(text_bytes(text_col), 256))
-    kept = marked.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("__owner"))
-                       & (F.col("__sha_of_row") == F.col("__sha")))
-    if not own.filter("__rows > 1").isEmpty():
+        "owner", F.col("text_sha256").alias("owned"), "owner_rows"), "own")
+    marked = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"),
+                         F.sha2(text_bytes(text_col), 256).alias("sha"))
+    kept = marked.join(own, F.col("id").eqNullSafe(F.col("owner")) & (F.col("sha") == F.col("owned")))
+    if not own.filter("owner_rows > 1").isEmpty():
         # only the few repeated identifiers are grouped; texts owned by one row pass through
-        kept = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates(["__sha"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        one = kept.filter("owner_rows > 1").groupBy("sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.filter("owner_rows = 1").select("row").unionAll(one.select("row"))
+    return kept.select("row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,16 @@ from ..session import read_table
 from . import ann, collocations, conversation, exact_dedup, langid, mixing, nbest, ngram_join, pst, quality, token_store, url_filter, winnow
 from .common import documents, ship
 
-#: Folder of the public tokenizers' files; a parameter of every query that tokenizes.
-TOKENIZERS = os.environ.get("SIMLATTICE_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; ``SIMLATTICE_TOKENIZERS`` names another folder."""
+    folder = os.environ.get("SIMLATTICE_TOKENIZERS")
+    return os.path.join(folder, name) if folder else str(public_tokenizers.path(name))
+
+
+BYTE_BPE = tokenizer_file("byte_bpe_50k.json")
+PIECES = tokenizer_file("piece_bpe_32k.model")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

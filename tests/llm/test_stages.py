@@ -5,7 +5,7 @@ import re
 import zlib
 
 import corpus_pipeline
-from simlattice.llm import mixing, ngram_join
+from simlattice.llm import exact_dedup, mixing, ngram_join, quality
 
 BASE = "the quick brown fox jumps over a lazy dog and runs far away from every other animal in these woods today"
 OTHER = "some text of its own that nobody else has written down before in this place"
@@ -70,3 +70,18 @@ def test_run(spark, tmp_path):
     want = mixing.take_mix(spark.createDataFrame([(i, t, source[i, t]) for i, t in kept],
                                                  "doc_id long, text string, source string"))
     assert out == collections.Counter((r.doc_id, zlib.crc32(r.text.encode())) for r in want.collect())
+
+
+def test_names_that_clash(spark):
+    names = ("__owner", "__ref", "__tail", "__sha_of_row", "__id", "__row", "row", "id", "sha", "ref", "tail", "owner",
+             "stays", "nth", "copies", "set_name")
+    rows = [(*r, *[f"{k}-{n}" for n in names]) for k, r in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    ratings = spark.createDataFrame([(10, 0), (13, 2), (5, 2), (6, 0), (7, 1)], "doc_id long, grade int")
+    for stage in (exact_dedup.drop_copies, ngram_join.drop_near_copies, lambda d: quality.keep_good(d, ratings)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) <= set(rows) and len(got) == len(set(got))
+        assert got and sorted(map(str, got)) == sorted(map(str, [tuple(r) for r in stage(docs).collect()]))
+        assert stage(docs.limit(0)).count() == 0
