@@ -1,7 +1,7 @@
 """URL filters by hashed expressions.
 
-A url is expanded into expressions: every suffix of its host at a dot, with every prefix of its path that is as long as
-some rule's path. Rules and expressions meet on the first four bytes of the expression's SHA-256, a short prefix that
+A url is expanded into expressions: the suffixes of its host with as many labels as some rule's host, with every prefix
+of its path that is as long as some rule's path, so their number is bounded by the rules, however long a host is. Rules and expressions meet on the first four bytes of the expression's SHA-256, a short prefix that
 keeps the join key small; full digests then confirm a match. The longest rule wins.
 """
 
@@ -62,16 +62,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     ruled = ruled.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select(
         F.substring(full, 1, PREFIX_HEX).alias("short"), full.alias("digest"), "rule_host", "rule_path",
         F.col("verdict").alias("rule_verdict"))
-    # the distinct lengths of rule paths, a scalar of the plan
+    # the distinct lengths of rule paths and label counts of rule hosts, scalars of the plan
     lengths = ruled.agg(F.collect_set(F.length("rule_path"))).scalar()
+    labels = ruled.agg(F.collect_set(F.size(F.split("rule_host", r"\.")))).scalar()
 
     url = F.coalesce(F.col(url_col), F.lit(""))
     judged = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"),
                           url_host(url).alias("host"), url_path(url).alias("path"))
-    judged = judged.withColumn("lengths", lengths)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    dots = F.length("host") - F.length(F.translate("host", ".", ""))
+    judged = judged.withColumn("lengths", lengths).withColumn("labels", labels).withColumn("dots", dots)
+    suffixes = F.transform(F.filter("labels", lambda c: c <= F.col("dots") + 1),
+                           lambda c: F.call_function("substring_index", F.col("host"), F.lit("."), -c))
     prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")),
                            lambda n: F.substring("path", F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
