@@ -23,6 +23,8 @@ LONGEST = 3
 SLICE_BYTES = 1 << 20
 #: Bound of the sample that the weights and the temperature are fitted on.
 MAX_TRAIN = 8_000
+#: Documents of each language that are drawn at least (all, where it has fewer), so no language is lost on a skewed corpus.
+LEAST_TRAIN = 50
 CALIBRATION_PARTS = 10
 SHARDS = 6
 ROUNDS = 3
@@ -203,13 +205,17 @@ def train(docs: DataFrame, scratch: Scratch, max_train: int = MAX_TRAIN) -> Mode
     """Model from ``docs(doc_id, text, lang)``; the caller leaves out what must not be learned from."""
     spark = docs.sparkSession
     labelled = docs.filter("lang IS NOT NULL")
-    total = labelled.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    share = int(min(1.0, max_train / max(total, 1)) * (1 << 30))
+    # each language has its share of the sample, but LEAST_TRAIN at least; rows are drawn by identifier and text
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    total = counts.agg(F.sum("of_lang")).first()[0] or 1
+    labelled = labelled.join(counts, "lang")
+    draw = lambda k: F.xxhash64("doc_id", "text", F.lit(k))
+    quota = F.greatest(F.lit(LEAST_TRAIN) / F.col("of_lang"), F.lit(max_train / total))
+    sampled = F.pmod(draw(5), F.lit(1 << 30)) < F.least(quota, F.lit(1.0)) * (1 << 30)
+    held = (F.pmod(draw(6), F.lit(CALIBRATION_PARTS)) == 0) & (F.col("of_lang") > 2 * CALIBRATION_PARTS)
     source = labelled.select(
-        text_bytes().alias("text"), "lang", (draw < share).alias("sampled"),
-        (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(CALIBRATION_PARTS)) == 0).alias("held"),
-        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int").alias("shard"))
+        text_bytes().alias("text"), "lang", sampled.alias("sampled"), held.alias("held"),
+        F.pmod(draw(7), F.lit(SHARDS)).cast("int").alias("shard"))
     kept = scratch.keep(source.mapInArrow(
         _training(BITS), "kind int, n long, held boolean, lang string, shard int, at binary, count binary"), "training")
     # two sums: tasks to SHARDS groups, groups to one; each row is one vector of the model's size
