@@ -31,10 +31,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DetectorConfig
+from ..config import MATRIX_MAX_FILES, DetectorConfig
 from ..functions import similarity as sim
 from ..functions.fingerprint import hamming, syntactic_similarity
 from ..session import kept_table
+from .compare import compare_pairs
 
 EPS = 1e-9
 
@@ -373,6 +374,31 @@ def expand_pairs(grouped: DataFrame, fp: DataFrame) -> DataFrame:
     return out.select("kind", F.least("a_id", "b_id").alias("item_a"), F.greatest("a_id", "b_id").alias("item_b"))
 
 
+def item_matrix(fp: DataFrame, chosen: DataFrame, cfg: DetectorConfig = DetectorConfig(),
+                most: int = MATRIX_MAX_FILES) -> DataFrame:
+    """The full symmetric matrix of the ``chosen(item_id)``, one row a cell: ``item_a, item_b, name_a, name_b, similarity``.
+
+    A matrix is for looking at, so more than ``most`` distinct items raise. The two triangles come from one verdict a pair,
+    the diagonal is 1.0. Items that ``fp`` (with a column ``name``) does not hold, and null ids, have no cells.
+    """
+    small = chosen.filter("item_id IS NOT NULL").distinct().limit(most + 1)
+    names = fp.select("item_id", "name").join(F.broadcast(small), "item_id")
+    packed = names.agg(F.array_sort(F.collect_set(F.struct("item_id", "name"))).alias("m"))
+    packed = packed.select(F.when(F.size("m") <= most, F.col("m")).otherwise(
+        F.raise_error(F.lit(f"a matrix holds {most} items at most"))).alias("m"))
+    pairs = packed.select(F.explode(F.flatten(F.transform("m", lambda a: F.transform(
+        F.filter("m", lambda b: a.item_id <= b.item_id), lambda b: F.struct(
+            a.item_id.alias("item_a"), b.item_id.alias("item_b"), a["name"].alias("name_a"), b["name"].alias("name_b"))))))
+        .alias("p")).select("p.*")
+    seen = compare_pairs(pairs, fp.join(F.broadcast(small), "item_id"), cfg=cfg)
+    score = F.when(F.col("item_a") == F.col("item_b"), 1.0).otherwise(F.col("similarity"))
+    cell = lambda a, b: F.struct(F.col(f"item_{a}").alias("item_a"), F.col(f"item_{b}").alias("item_b"),
+                                 F.col(f"name_{a}").alias("name_a"), F.col(f"name_{b}").alias("name_b"),
+                                 score.alias("similarity"))
+    return seen.select(F.explode(F.when(F.col("item_a") == F.col("item_b"), F.array(cell("a", "b"))).otherwise(
+        F.array(cell("a", "b"), cell("b", "a")))).alias("c")).select("c.*")
+
+
 def pair_budget(items: DataFrame) -> DataFrame:
     """Item count and the number of pairs a full batch comparison would make."""
     return items.agg(F.count(F.lit(1)).alias("n_items")).select(

@@ -156,8 +156,9 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip().rstrip(",") for c in ctes) + "\n"
 
 
-def sig_pairs_sql(ctes: tuple[str, ...], fp: str, t: float) -> str:
+def sig_pairs_sql(ctes: tuple[str, ...], fp: str, t: float, syn_t: float | None = None) -> str:
     """Grouped all-pairs (see operators.pairs.all_pairs) over fingerprint CTE ``fp``; result CTE ``ap``."""
+    syn_t = t if syn_t is None else syn_t
     return with_(*ctes, f"""
 sig AS (SELECT language, hash_hex, pset, min(item_id) AS rep, count(*) AS n, any_value(patterns) AS patterns
      FROM {fp} GROUP BY language, hash_hex, pset),
@@ -177,4 +178,5 @@ sp AS (SELECT 'same_patterns' AS kind, crep AS item_a, crep AS item_b, tot::BIGI
        1.0 AS structural_similarity, pset AS matching_patterns,
        CASE WHEN len(pset) = 0 THEN '0/0' ELSE len(pset)::VARCHAR || '/' || len(pset)::VARCHAR END AS pattern_match_ratio,
        l1 AS lang1, l2 AS lang2, 'structural' AS method_used FROM cls WHERE nsig >= 2),
-ap AS (SELECT * FROM pr WHERE similarity >= {t} UNION ALL SELECT * FROM wi UNION ALL SELECT * FROM sp)""")
+ap AS (SELECT * FROM pr WHERE structural_similarity >= {t} OR syntactic_similarity >= {syn_t}
+     UNION ALL SELECT * FROM wi UNION ALL SELECT * FROM sp)""")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_PROFILES, HTML, update_patterns
+from ..config import DEFAULT_PROFILES, HTML, MATRIX_MAX_FILES, MATRIX_NAME_CHARS, update_patterns
 from ..functions import similarity as sim
 from ..functions.shingles import adaptive_k, shingles
 from ..operators import pairs as P
@@ -20,6 +20,9 @@ HAMMING_T = 0.9
 JACCARD_T = 0.9
 SEARCH_SYN_T = 0.9
 SEARCH_STRUCT_T = 0.5
+#: The operators' own defaults, which the queries named ``_default`` use.
+DEFAULT_PAIRS_T = 0.6
+DEFAULT_SYN_T = 0.97
 SEARCH_LIMIT = 100
 SHOWN = 10
 CUSTOM_HTML_PATTERNS = {"BLOCK": ["div", "article", "section"], "COND": ["p"]}
@@ -92,6 +95,20 @@ def all_pairs(spark, sf):
     return P.all_pairs(_fp(spark, sf), ALL_PAIRS_T, syn_t=ALL_PAIRS_T)
 
 
+def all_pairs_default(spark, sf):
+    """All pairs at the default thresholds, where every confidence occurs."""
+    return P.all_pairs(_fp(spark, sf), DEFAULT_PAIRS_T, syn_t=DEFAULT_SYN_T)
+
+
+def item_matrix(spark, sf):
+    """Item x item similarity of the first pages of the largest groups of equal fingerprints (a report of fixed size)."""
+    fp = _fp(spark, sf)
+    groups = fp.groupBy("hash_hex").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
+    chosen = groups.orderBy(F.desc("n"), "item_id").limit(MATRIX_MAX_FILES).select("item_id")
+    name = F.substring("file_path", 1, MATRIX_NAME_CHARS)
+    return P.item_matrix(fp.withColumn("name", name), chosen)
+
+
 def pair_count(spark, sf):
     """Suspicious pairs above the threshold (sum of grouped pair counts)."""
     return P.all_pairs(_fp(spark, sf), ALL_PAIRS_T, syn_t=ALL_PAIRS_T).agg(F.sum("n_pairs").cast("bigint").alias("n_pairs"))
@@ -128,6 +145,14 @@ def search_combined(spark, sf):
     return S.attach_bank(hits, bank, ("source", "file_path", "language"))
 
 
+def search_combined_default(spark, sf):
+    """The combined search at the default thresholds of its two methods."""
+    fp = _fp(spark, sf)
+    bank = page_bank(fp)
+    hits = S.search_combined(page_queries(fp), bank, SEARCH_STRUCT_T, SEARCH_LIMIT, syn_t=DEFAULT_SYN_T)
+    return S.attach_bank(hits, bank, ("source", "file_path", "language"))
+
+
 def search_combined_true(spark, sf):
     fp = _fp(spark, sf)
     bank, queries = page_bank(fp), page_queries(fp)
@@ -155,5 +180,5 @@ def badge(spark, sf):
 QUERIES = {f.__name__: f for f in (
     node_stream_html, features_html, normalize_features, debug_patterns, shingles_k2, shingles_adaptive,
     fingerprint, fingerprint_groups, hamming_pairs, jaccard_pairs, all_pairs, pair_count, pair_budget,
-    custom_patterns, search_syntactic, search_structural, search_combined, search_combined_true,
+    custom_patterns, all_pairs_default, item_matrix, search_combined_default, search_syntactic, search_structural, search_combined, search_combined_true,
     top_k_per_query, badge)}

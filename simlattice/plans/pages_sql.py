@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..config import DEFAULT_PROFILES, update_patterns
 from . import pages as P
 from .oracle_sql import (fp_cte, hamming_expr, html_struct_cte, html_tags_cte, inter_expr, shingle_expr,
-                         adaptive_k_expr, sig_pairs_sql, union_expr, with_)
+                         adaptive_k_expr, sig_pairs_sql, union_expr, verdict_select, with_)
 
 H = html_struct_cte()
 FP = fp_cte("h_struct", "fp")
@@ -56,8 +56,18 @@ comb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
      FROM m) WHERE rk <= {limit})"""
 
 
-def _sig_pairs(t: float) -> str:
-    return sig_pairs_sql((H, FP), "fp", t)
+def _sig_pairs(t: float, syn_t: float | None = None) -> str:
+    return sig_pairs_sql((H, FP), "fp", t, syn_t)
+
+
+def _item_matrix() -> str:
+    return with_(H, FP, BANK, f"""
+chosen AS (SELECT item_id FROM (SELECT min(item_id) AS item_id, count(*) AS n FROM fp GROUP BY hash_hex)
+     ORDER BY n DESC, item_id LIMIT {P.MATRIX_MAX_FILES}),
+f AS (SELECT fp.*, left(bank.file_path, {P.MATRIX_NAME_CHARS}) AS name FROM fp JOIN chosen USING (item_id)
+     JOIN bank ON bank.id = fp.item_id),
+v AS (SELECT a.item_id AS item_a, b.item_id AS item_b, a.name AS name_a, b.name AS name_b, {verdict_select('a', 'b')}
+     FROM f a, f b)""") + "SELECT item_a, item_b, name_a, name_b, CASE WHEN item_a = item_b THEN 1.0 ELSE similarity END AS similarity FROM v"
 
 
 def _custom():
@@ -99,6 +109,11 @@ SELECT * FROM pr WHERE structural_similarity >= {P.JACCARD_T}
 UNION ALL SELECT 'within', rep, rep, n, n, (n * (n - 1) // 2)::BIGINT, 1.0, pset,
        CASE WHEN len(pset) = 0 THEN '0/0' ELSE len(pset)::VARCHAR || '/' || len(pset)::VARCHAR END FROM sig WHERE n >= 2""",
         "all_pairs": _sig_pairs(t) + "SELECT * FROM ap",
+        "all_pairs_default": _sig_pairs(P.DEFAULT_PAIRS_T, P.DEFAULT_SYN_T) + "SELECT * FROM ap",
+        "item_matrix": _item_matrix(),
+        "search_combined_default": with_(H, FP, BANK, _combined(P.SEARCH_STRUCT_T, P.SEARCH_LIMIT, P.DEFAULT_SYN_T)) +
+            "SELECT c.query_id, c.id, c.syntactic_similarity, c.structural_similarity, c.similarity, c.match_type, "
+            "c.matching_patterns, b.source, b.file_path, b.language FROM comb c JOIN bank b ON b.id = c.id",
         "pair_count": _sig_pairs(t) + "SELECT sum(n_pairs)::BIGINT AS n_pairs FROM ap",
         "pair_budget": "SELECT count(*) AS n_items, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_pairs FROM pages",
         "custom_patterns": _custom(),
