@@ -33,8 +33,10 @@ MAGIC = b"SLTOK001"
 SHARD_BYTES = 72 << 20
 SLICE_BYTES = 8 << 20
 UNITS_AT_ONCE = 8192
+#: Bytes of units encoded end to end, and how many such texts at once.
+JOINED_BYTES, JOINED_AT_ONCE = 16 << 10, 32
 KNOWN_UNITS = 1_500_000
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 19
 GAMMA = 2.0
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(90001))
 #: Bytes after a space that surely begin a word: ASCII signs, and lead bytes of no Unicode space.
@@ -55,8 +57,12 @@ class UnitEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.n_ids = self.tokenizer.get_vocab_size()
-        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n_ids = 1 + max(self.tokenizer.get_vocab().values(), default=-1)
+        #: bytes of each id's piece, one for each character of a byte-level piece
+        self.bytes = np.zeros(self.n_ids, np.int64)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(piece)
+        self.known = self._none()
 
     def encode(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
         """Ids of each text with ``end`` after them."""
@@ -69,16 +75,18 @@ class UnitEncoder:
         start = np.flatnonzero(begins[:-1])
         size = np.diff(np.append(start, len(data)))
         name, one, which = np.unique(self._names(data, start, size), return_index=True, return_inverse=True)
-        at, length, flat = self._ids(data, start[one], size[one], name)
-        length, begin = length[at], (np.cumsum(length) - length)[at]
+        at, begin, length, flat = self._ids(data, start[one], size[one], name)
+        n, begin = length[at][which], begin[at][which]
         cut = np.searchsorted(start, bound)
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            mine = which[a:b]
-            n = length[mine]
-            out = np.empty(int(n.sum()) + 1, np.uint32)
-            out[:-1] = flat[np.arange(len(out) - 1) + np.repeat(begin[mine] - (np.cumsum(n) - n), n)]
-            out[-1] = end
-            yield out
+        text = np.repeat(np.arange(len(texts)), np.diff(cut))
+        before = np.concatenate([[0], np.cumsum(n)])
+        # ids of unit u stand after those of the units and ends before it
+        out = np.full(int(before[-1]) + len(texts), end, np.uint32)
+        place = np.arange(int(before[-1]))
+        out[place + np.repeat(text, n)] = flat[place + np.repeat(begin - before[:-1], n)]
+        at = before[cut] + np.arange(len(texts) + 1)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield out[a:b]
 
     @staticmethod
     def _names(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -95,34 +103,69 @@ class UnitEncoder:
             at = stop
         return out
 
-    def _ids(self, data, start, size, name) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of each unit among the known ones, and their lengths and ids. Units met before in this task are not
-        encoded again; the table of known units is emptied when it holds ``KNOWN_UNITS``."""
-        known, length, flat = self.known
+    def _ids(self, data, start, size, name) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each unit (in order of name) among the known ones, where their ids begin, how many, and all ids. Units
+        met before in this task are not encoded again; the table of known units is emptied when it holds ``KNOWN_UNITS``."""
+        known, begin, length, flat = self.known
         place = np.searchsorted(known, name)
         new = np.flatnonzero(known[np.minimum(place, max(len(known) - 1, 0))] != name) if len(known) else np.arange(len(name))
         if len(known) + len(new) > KNOWN_UNITS:
-            known, length, flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            known, begin, length, flat = self._none()
             new = np.arange(len(name))
         if len(new):
-            raw = data.tobytes()
-            units = [raw[a:a + n].decode("utf-8", "replace") for a, n in zip(start[new].tolist(), size[new].tolist())]
-            order = sorted(range(len(units)), key=units.__getitem__)  # like units together: twice as fast
-            found: list[list[int]] = []
-            for at in range(0, len(order), UNITS_AT_ONCE):
-                part = [units[k] for k in order[at:at + UNITS_AT_ONCE]]
-                found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            more = np.fromiter(map(len, found), np.int64, len(found))
-            known = np.concatenate([known, name[new[order]]])
-            length = np.concatenate([length, more])
-            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.uint32, int(more.sum()))])
-            back = np.argsort(known)
-            begin = np.cumsum(length) - length
-            known, begin, length = known[back], begin[back], length[back]
-            flat = flat[np.arange(len(flat)) + np.repeat(begin - (np.cumsum(length) - length), length)]
-            self.known = known, length, flat
+            order, more, found = self._encoded(data, start[new], size[new])
+            # ids are only added; names, begins and lengths of the new units go between the known ones
+            first, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            first[order], n[order] = len(flat) + np.cumsum(more) - more, more
+            flat = np.concatenate([flat, *found])
+            at = np.searchsorted(known, name[new])
+            known, begin, length = np.insert(known, at, name[new]), np.insert(begin, at, first), np.insert(length, at, n)
+            self.known = known, begin, length, flat
             place = np.searchsorted(known, name)
-        return place, length, flat
+        return place, begin, length, flat
+
+    def _encoded(self, data, start, size) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Units in the order they are encoded in, their numbers of ids, and these ids.
+
+        Units that begin with a space and a word are encoded end to end and told apart by the bytes of each id; where
+        the bounds of units and ids do not meet, and for all other units, each is encoded for itself.
+        """
+        begins = (size > 1) & (data[start] == 0x20) & _BEGINS[data[np.minimum(start + 1, len(data) - 1)]]
+        joined, alone = np.flatnonzero(begins), [np.flatnonzero(~begins)]
+        joined = joined[np.argsort(start[joined])]
+        order, many, found = [], [], []
+        total = np.cumsum(size[joined])
+        cut = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, JOINED_BYTES)), len(joined)))
+        for k in range(0, len(cut) - 1, JOINED_AT_ONCE):
+            runs = [joined[a:b] for a, b in zip(cut[k:k + JOINED_AT_ONCE].tolist(), cut[k + 1:k + 1 + JOINED_AT_ONCE].tolist())]
+            texts = []
+            for run in runs:
+                n = size[run]
+                texts.append(data[np.arange(int(n.sum())) + np.repeat(start[run] - (np.cumsum(n) - n), n)].tobytes().decode(
+                    "utf-8", "replace"))
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                end, want = np.cumsum(self.bytes[ids]), np.cumsum(size[run])
+                at = np.searchsorted(end, want)
+                if len(ids) and end[-1] == want[-1] and (end[at] == want).all():
+                    order.append(run)
+                    many.append(np.diff(at + 1, prepend=0))
+                    found.append(ids)
+                else:
+                    alone.append(run)
+        rest = np.concatenate(alone)
+        for k in range(0, len(rest), UNITS_AT_ONCE):
+            part = rest[k:k + UNITS_AT_ONCE]
+            texts = [data[a:a + n].tobytes().decode("utf-8", "replace") for a, n in zip(start[part].tolist(), size[part].tolist())]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            order.append(part)
+            many.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(many[-1].sum())))
+        return np.concatenate(order), np.concatenate(many), found
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
 
 # ---- minimal perfect hash ------------------------------------------------------------------------------------------
