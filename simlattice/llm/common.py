@@ -6,6 +6,7 @@ costs the re-run of its own tasks only, and an iterative operator never replays
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -77,12 +78,22 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers serve one stage after another, and the C library and Arrow keep what
+    arrays of earlier slices and stages took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def rows(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "text") -> Iterator[tuple[dict, list[bytes]]]:
     """Slices of the incoming batches holding about ``max_bytes`` of text (one row at least).
 
     Yields the other columns as Python lists and the texts as bytes; a text is never cut.
     """
     for batch in batches:
+        give_back()
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
